@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, functions as F
 
 # Code point ranges of the Han script.
-HAN = "⺀-⺙⺛-⻳⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-舘並-龎\U00020000-\U0003ffff"
+HAN = "\u2e80-\u2e99\u2e9b-\u2ef3\u2f00-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufa6d\ufa70-\ufad9\U00020000-\U0003ffff"
 
 WORD = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
 

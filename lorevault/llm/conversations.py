@@ -20,7 +20,7 @@ SPEAKER_ROLES = {
     "system": ["system", "host", "系统", "sistema"],
 }
 CHUNK = 4096
-BLANK_ENDS = r"(?U)^[\s​﻿]+|[\s​﻿]+$"
+BLANK_ENDS = r"(?U)^[\s\u200b\u2060\ufeff]+|[\s\u200b\u2060\ufeff]+$"
 
 
 def _lookup(pairs: dict[str, str]) -> Column:
@@ -40,7 +40,7 @@ def role(event_type: Column, speaker: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """Whether anything but white space is there; non-breaking, ideographic and zero-width blanks are white space."""
-    return F.coalesce(c.rlike(r"(?U)[^\s 　​⁠﻿]"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?U)[^\s\u200b\u2060\ufeff]"), F.lit(False))
 
 
 def messages(anchors: DataFrame) -> DataFrame:

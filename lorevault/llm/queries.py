@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorevault.llm import conversations
+from lorevault.llm import conversations, leaks, mixing, truncation
 from lorevault.session import table
 
 
@@ -20,6 +20,43 @@ def p3_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(table(spark, sf, "anchors"))
 
 
+def _digests(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "memory_digests"), "digest_id", "content", "generator")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _digests(spark, sf).where("cut").select(F.col("row").alias("digest_id")).distinct()
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.cut_shares(_digests(spark, sf))
+
+
+def p2_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "memory_digests").where("content <> ''")
+    return truncation.spikes(d.select(F.col("generator").alias("source"), F.char_length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_documents(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "source", "n_chars")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.report(p8_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
@@ -46,10 +83,21 @@ u as (select session_id, bool_or(role = 'user' and next is distinct from 'assist
 v as (select session_id, count(*) as n_messages, min(seq) <> 1 or max(seq) <> count(*) as gap, bool_or(differs) as conflict from m group by session_id)
 select v.*, not coalesce(asked, false) as empty, coalesce(unanswered, false) as unanswered, gap or conflict or not coalesce(asked, false) or coalesce(unanswered, false) as dropped from v left join u using (session_id)"""
 
+_WORDS = r"regexp_extract_all(regexp_replace(lower({0}), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+_LEAKED = f"""with d as (select doc_id, {_WORDS.format('text')} as w from documents), e as (select item_id, {_WORDS.format('passage')} as w from eval_items),
+dg as (select doc_id, array_to_string(w[i:i+11], ' ') as g from d, unnest(range(1, len(w) - 10)) as u(i)), eg as (select distinct item_id, array_to_string(w[i:i+11], ' ') as g from e, unnest(range(1, len(w) - 10)) as u(i))
+select distinct doc_id, item_id from dg join eg using (g)"""
+
 
 def oracle_sql():
     return {
         "p3_verdicts": _VERDICTS,
         "p3_found": f"select session_id from ({_VERDICTS}) where dropped",
+        "p2_spikes": """with l as (select generator as source, unnest([{'measure': 'n_chars', 'length': length(content)}, {'measure': 'n_bytes', 'length': octet_length(encode(content))}]) as x from memory_digests where content <> ''),
+n as (select source, x.measure as measure, x.length as length, count(*) as n from l group by all),
+e as (select *, (sum(n) over (partition by source, measure order by length range between 25 preceding and 25 following) - n) / 50.0 as expected from n)
+select * from e where n >= 5 and n >= 6 * greatest(expected, 0.1)""",
+        "p7_found": _LEAKED,
+        "p7_clean": f"select doc_id, source, n_chars from documents where doc_id not in (select doc_id from ({_LEAKED}))",
         "p3_conversations": f"{_MESSAGES}, k as (select session_id from ({_VERDICTS}) where not dropped) select session_id, seq, role, quote from m where session_id in (select session_id from k)",
     }

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorevault.llm import conversations, leaks, mixing, truncation
+from lorevault.llm import conversations, leaks, mixing, near_duplicates, truncation
 from lorevault.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.similar_pairs(table(spark, sf, "l2_episodes"), "ord", "summary").select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf, "l2_episodes"), "ord", "summary")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.verdicts(table(spark, sf, "anchors")).where("dropped").select("session_id")
 
@@ -88,9 +96,14 @@ _LEAKED = f"""with d as (select doc_id, {_WORDS.format('text')} as w from docume
 dg as (select doc_id, array_to_string(w[i:i+11], ' ') as g from d, unnest(range(1, len(w) - 10)) as u(i)), eg as (select distinct item_id, array_to_string(w[i:i+11], ' ') as g from e, unnest(range(1, len(w) - 10)) as u(i))
 select distinct doc_id, item_id from dg join eg using (g)"""
 
+_SIMILAR = f"""with s as (select ord, list_distinct({_WORDS.format('summary')}) as w from l2_episodes), t as (select * from s where len(w) >= 10),
+x as (select ord, unnest(w) as v from t), p as (select a.ord as ord_a, b.ord as ord_b, count(*) as n from x a join x b on a.v = b.v and a.ord < b.ord group by all)
+select ord_a, ord_b from p join t a on a.ord = ord_a join t b on b.ord = ord_b where n * 10 >= 7 * (len(a.w) + len(b.w) - n)"""
+
 
 def oracle_sql():
     return {
+        "p1_found": _SIMILAR,
         "p3_verdicts": _VERDICTS,
         "p3_found": f"select session_id from ({_VERDICTS}) where dropped",
         "p2_spikes": """with l as (select generator as source, unnest([{'measure': 'n_chars', 'length': length(content)}, {'measure': 'n_bytes', 'length': octet_length(encode(content))}]) as x from memory_digests where content <> ''),

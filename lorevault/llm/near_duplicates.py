@@ -9,7 +9,8 @@ deleted (one wildcard bit); if the segments differ by at most one bit, the plain
 signature of one text is among the signatures of the other. Signatures meet in an
 equality join, where candidates are filtered by a parity sketch whose distance
 never exceeds the number of differing bits, and the word sets of what remains are
-compared exactly.
+compared (words as 32-bit hashes, in which two words of one pair of texts of 30
+words are confused in about one of ten million pairs).
 
 A signature of frequent words only would meet too many texts; it is extended by
 one word of the rest of the text, once for each of the rarest words there that
@@ -26,9 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from lorevault.llm.common import word_column
+from lorevault.llm.common import Ids, flat_words
+from lorevault.llm.tables import count_tables
 from lorevault.operators.graph import components
 from lorevault.session import stage
 
@@ -38,9 +40,9 @@ COUNT_SLOTS = 1 << SLOT_BITS
 #: Size of the table of signature counts, broadcast too.
 KEY_SLOTS = 1 << 20
 #: Only signatures whose words all occur in more texts than this are counted.
-FREQUENT = 512
+FREQUENT = 256
 #: A signature that more texts have is extended.
-HOT = 3000
+HOT = 1000
 #: Signatures that one task joins.
 BUCKET_ROWS = 1_600_000
 NO_COUNT = np.iinfo(np.int64).max
@@ -168,17 +170,20 @@ def _sketch(start: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _texts(batch: pa.RecordBatch, counts: np.ndarray, tenths: int) -> tuple[np.ndarray, Texts]:
     ids, lists = batch.column(0).to_numpy(), batch.column(1)
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    word = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-    return ids, Texts(offsets[:-1] - offsets[0], np.diff(offsets), word, counts[(word % np.uint64(COUNT_SLOTS)).astype(np.int64)].astype(np.int64), tenths)
+    word = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32)
+    return ids, Texts(offsets[:-1] - offsets[0], np.diff(offsets), word.astype(np.uint64), counts[word % COUNT_SLOTS], tenths)
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, tenths: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(KEY_SLOTS, np.int64)
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        word = batch.column(0).flatten().to_numpy().view(np.uint32)
+        yield {"words": np.bincount(word % COUNT_SLOTS, minlength=COUNT_SLOTS)}
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, tenths: int) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
-            total += np.bincount(frequent_slots(_texts(batch, counts, tenths)[1]), minlength=KEY_SLOTS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "count"])
+            yield {"keys": np.bincount(frequent_slots(_texts(batch, counts, tenths)[1]), minlength=KEY_SLOTS)}
 
 
 def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.ndarray, tenths: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -217,57 +222,72 @@ def _join_bucket(pdf: pd.DataFrame, tenths: int) -> pd.DataFrame:
     key = np.concatenate(pdf["keys"].to_numpy()).view(np.uint32)
     text = np.concatenate(pdf["texts"].to_numpy()) + np.repeat(np.cumsum(sizes) - sizes, pdf["keys"].map(len).to_numpy())
     ids = np.concatenate(pdf["ids"].to_numpy())
-    sketch = np.concatenate(pdf["sketches"].to_numpy()).view(np.uint64)
     order = np.argsort(key)
     key, text = key[order], text[order]
+    sketch = np.concatenate(pdf["sketches"].to_numpy()).view(np.uint64)[text]
     plain, key = (key & np.uint32(1)).astype(bool), key >> np.uint32(1)
-    words, parity = (sketch & np.uint64(1023)).astype(np.int64), sketch >> np.uint64(10)
+    words, parity = (sketch & np.uint64(1023)).astype(np.int16), sketch >> np.uint64(10)
+    # Most differing bits by the words of both; a capped number of words says nothing, the sets are compared later.
+    most = np.array([max_difference(0, t, tenths) if t < 1023 else SKETCH_BITS for t in range(2047)], np.int16)
     found, i, step = [], np.arange(len(key)), 1
     while len(i):
         i = i[i + step < len(key)]
-        i = i[key[i + step] == key[i]]
-        a, b = text[i], text[i + step]
-        total = words[a] + words[b]
-        most = total - 2 * -(-tenths * total // (10 + tenths))
-        fits = (plain[i] | plain[i + step]) & (a != b)
-        # A capped number of words says nothing; the sets themselves are compared later.
-        fits &= (np.bitwise_count(parity[a] ^ parity[b]) <= most) | (total >= 1023)
+        j = i + step
+        same = key[j] == key[i]
+        i, j = i[same], j[same]
+        one = plain[i] | plain[j]
+        a, b = i[one], j[one]
+        fits = np.bitwise_count(parity[a] ^ parity[b]) <= most[words[a] + words[b]]
         if fits.any():
-            x, y = ids[a[fits]], ids[b[fits]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            x, y = text[a[fits]], text[b[fits]]
+            found.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
         step += 1
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
+    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    x, y = ids[code // max(len(ids), 1)], ids[code % max(len(ids), 1)]
+    other = x != y
+    return pd.DataFrame({"a": np.minimum(x, y)[other], "b": np.maximum(x, y)[other]})
 
-def _word_set(text: Column) -> Column:
-    return F.array_distinct(F.transform(word_column(text), lambda w: F.xxhash64(w)))
 
+def _word_sets(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    number = Ids()
+    for batch in batches:
+        found, owner, n = flat_words(batch.column(1).to_pylist())
+        word = number(found, len(owner))
+        order = np.lexsort((word, owner))
+        word, owner = word[order], owner[order]
+        first = np.ones(len(word), bool)
+        first[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+        word, owner = word[first], owner[first]
+        n = np.bincount(owner, minlength=len(n))
+        enough = n >= least_words
+        keep = enough[owner]
+        word, n = word[keep], n[enough]
+        if not len(n):
+            continue
+        start = np.cumsum(n) - n
+        keys = [np.add.reduceat(_mix(word, seed), start).view(np.int64) for seed in (11, 12)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(word)), pa.int32()), pa.array((word >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(enough)), pa.array(keys[0]), pa.array(keys[1]), lists], ["id", "k1", "k2", "words"])
 
-def classes(df: DataFrame, row: str, text: str, least_words: int = 10) -> DataFrame:
-    """Word sets of the texts with enough words, one row per set: rep (its least row id), members, words.
-
-    Texts with equal sets are one class, however many they are.
-    """
-    rows = df.select(F.col(row).cast("long").alias("id"), _word_set(F.col(text)).alias("words")).where(F.col("id").isNotNull() & (F.size("words") >= least_words))
-    key = F.array_sort("words")
-    return rows.groupBy(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(5), key).alias("k2")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("words").alias("words"))
 
+def word_sets(df: DataFrame, row: str, text: str, least_words: int = 10) -> DataFrame:
+    """id, a 128-bit key of the set (k1, k2) and the words as 32-bit numbers, of texts with enough distinct words."""
+    rows = df.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    return rows.mapInArrow(lambda b: _word_sets(b, least_words), "id long, k1 long, k2 long, words array<int>")
 
-def membership(df: DataFrame, row: str, text: str, least_words: int = 10) -> DataFrame:
-    """Row ids with the representative of their class: id, rep."""
-    rows = df.select(F.col(row).cast("long").alias("id"), F.array_sort(_word_set(F.col(text))).alias("words")).where(F.col("id").isNotNull() & (F.size("words") >= least_words))
-    keyed = rows.select("id", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(5), F.col("words")).alias("k2"))
-    reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    return keyed.join(reps, ["k1", "k2"]).select("id", "rep", "members")
 
+def classes(df: DataFrame, row: str, text: str, least_words: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The classes of texts with equal word sets, however many they are.
 
-def _dense(counts: DataFrame, slots: int) -> np.ndarray:
-    """Counts per slot as an array of fixed size."""
-    out = np.zeros(slots, np.int32)
-    for r in counts.collect():
-        out[r["slot"]] = min(r["count"], np.iinfo(np.int32).max)
-    return out
+    Two tables: rep (the least row id of a class) with its words; and id, rep of
+    the rows of classes with several members.
+    """
+    keys = stage(word_sets(df, row, text, least_words).select("id", "k1", "k2"), "near-keys")
+    several = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stage(keys.join(several, ["k1", "k2"]).select("id", "rep"), "near-members")
+    copies = members.where("id <> rep").select("id")
+    sets = word_sets(df, row, text, least_words).select("id", "words").join(copies, "id", "left_anti")
+    return stage(sets.select(F.col("id").alias("rep"), "words"), "near-sets"), members
 
 
 def similar_classes(df: DataFrame, row: str, text: str, tenths: int = 7, least_words: int = 10) -> DataFrame:
@@ -278,16 +298,17 @@ def similar_classes(df: DataFrame, row: str, text: str, tenths: int = 7, least_w
     id; ties at the threshold belong to the result; an empty table gives no
     rows; other columns are never read.
     """
-    spark = df.sparkSession
-    sets = stage(classes(df, row, text, least_words).select("rep", "words"), "near-sets")
-    slots = sets.select(F.explode("words").alias("w")).groupBy(F.shiftrightunsigned(F.shiftleft("w", 64 - SLOT_BITS), 64 - SLOT_BITS).cast("int").alias("slot")).count()
-    counts = _dense(slots, COUNT_SLOTS)
-    shared = spark.sparkContext.broadcast(counts)
-    keyed = sets.select("rep", "words").mapInArrow(lambda b: _count_keys(b, shared.value, tenths), "slot int, count long")
-    key_counts = spark.sparkContext.broadcast(_dense(keyed.groupBy("slot").agg(F.sum("count").alias("count")), KEY_SLOTS))
+    return _similar(classes(df, row, text, least_words)[0], tenths)
+
+
+def _similar(sets: DataFrame, tenths: int) -> DataFrame:
+    spark = sets.sparkSession
+    counts = spark.sparkContext.broadcast(count_tables(sets.select("words"), {"words": COUNT_SLOTS}, _count_words)["words"])
+    found = count_tables(sets, {"keys": KEY_SLOTS}, lambda b: _count_keys(b, counts.value, tenths))["keys"]
+    key_counts = spark.sparkContext.broadcast(np.minimum(found, np.iinfo(np.int32).max).astype(np.int32))
     n_buckets = max(1, math.ceil(sets.count() * 60 / BUCKET_ROWS))
     signed = sets.mapInArrow(
-        lambda b: _sign(b, shared.value, key_counts.value, tenths, n_buckets),
+        lambda b: _sign(b, counts.value, key_counts.value, tenths, n_buckets),
         "bucket int, keys array<int>, texts array<int>, ids array<long>, sketches array<long>",
     )
     pairs = signed.groupBy("bucket").applyInPandas(lambda pdf: _join_bucket(pdf, tenths), "a long, b long").distinct()
@@ -298,14 +319,17 @@ def similar_classes(df: DataFrame, row: str, text: str, tenths: int = 7, least_w
 
 def similar_pairs(df: DataFrame, row: str, text: str, tenths: int = 7, least_words: int = 10) -> DataFrame:
     """All pairs of rows that are similar, those of equal word sets included: id_a < id_b."""
-    links = similar_classes(df, row, text, tenths, least_words).select("a", "b")
-    member = membership(df, row, text, least_words)
-    own = member.where("members > 1").select("rep", F.col("id").alias("x"))
-    same = own.join(own.withColumnRenamed("x", "y"), "rep").where("x < y").select("x", "y")
-    ends = member.select("id", "rep")
-    cross = links.join(ends.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(ends.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    both = cross.unionByName(same)
-    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    sets, members = classes(df, row, text, least_words)
+    links = stage(_similar(sets, tenths).select("a", "b"), "near-links")
+
+    def expanded(pairs: DataFrame, end: str) -> DataFrame:
+        of = members.select(F.col("rep").alias(end), F.col("id").alias("member"))
+        return pairs.join(of, end, "left").withColumn(end, F.coalesce("member", end)).drop("member")
+
+    own = members.select("rep", F.col("id").alias("a"))
+    same = own.join(own.withColumnRenamed("a", "b"), "rep").where("a < b").select("a", "b")
+    both = expanded(expanded(links, "a"), "b").unionByName(same)
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def groups(df: DataFrame, row: str, text: str, tenths: int = 7, least_words: int = 10) -> DataFrame:
@@ -313,9 +337,10 @@ def groups(df: DataFrame, row: str, text: str, tenths: int = 7, least_words: int
 
     group_id is the least representative reachable over similar pairs.
     """
-    links = stage(similar_classes(df, row, text, tenths, least_words).select("a", "b"), "near-links")
-    member = membership(df, row, text, least_words)
+    sets, members = classes(df, row, text, least_words)
+    links = stage(_similar(sets, tenths).select("a", "b"), "near-links")
     found = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    every = sets.select(F.col("rep").alias("id"), "rep").unionByName(members.where("id <> rep"))
+    out = every.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     return out.select("id", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

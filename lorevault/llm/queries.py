@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorevault.llm import conversations, leaks, mixing, near_duplicates, truncation
+from lorevault.llm import conversations, keyword_spam, leaks, mixing, near_duplicates, truncation
 from lorevault.session import table
 
 
@@ -65,6 +65,14 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(p8_mix(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword_spam.judged(table(spark, sf, "documents")).where("spam").select("doc_id")
+
+
+def p9_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword_spam.judged(table(spark, sf, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 

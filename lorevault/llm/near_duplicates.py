@@ -45,6 +45,8 @@ FREQUENT = 256
 HOT = 1000
 #: Signatures that one task joins.
 BUCKET_ROWS = 1_600_000
+#: Texts signed together; their numbers fit 16 bits.
+MOST_TEXTS = 1 << 14
 NO_COUNT = np.iinfo(np.int64).max
 #: Segment numbers in use; each text is cut for the few of them that its partners' sizes ask for.
 GRID = sorted({math.ceil(1.4**k) for k in range(60)})
@@ -188,9 +190,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, tenths: i
 
 def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.ndarray, tenths: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket: its keys, for each key the text it is of, and these texts' ids and sketches."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, MOST_TEXTS) for b in batches for i in range(0, b.num_rows, MOST_TEXTS)):
         ids, texts = _texts(batch, counts, tenths)
         key, text, plain = signatures(texts, key_counts)
         sketch = _sketch(texts.start, texts.n, texts.word)
@@ -208,7 +208,7 @@ def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.
             [
                 pa.array(used, pa.int32()),
                 pa.ListArray.from_arrays(keys_to, pa.array(low)),
-                pa.ListArray.from_arrays(keys_to, pa.array(at.astype(np.int16 if batch.num_rows <= 32767 else np.int32)).cast(pa.int32())),
+                pa.ListArray.from_arrays(keys_to, pa.array(at.astype(np.int16))),
                 pa.ListArray.from_arrays(ids_to, pa.array(ids[text[new]])),
                 pa.ListArray.from_arrays(ids_to, pa.array(sketch[text[new]])),
             ],
@@ -220,7 +220,7 @@ def _join_bucket(pdf: pd.DataFrame, tenths: int) -> pd.DataFrame:
     """Pairs of texts that share a key, one of them with its plain signature, and may be similar by their sketches."""
     sizes = pdf["ids"].map(len).to_numpy()
     key = np.concatenate(pdf["keys"].to_numpy()).view(np.uint32)
-    text = np.concatenate(pdf["texts"].to_numpy()) + np.repeat(np.cumsum(sizes) - sizes, pdf["keys"].map(len).to_numpy())
+    text = np.concatenate(pdf["texts"].to_numpy()).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, pdf["keys"].map(len).to_numpy())
     ids = np.concatenate(pdf["ids"].to_numpy())
     order = np.argsort(key)
     key, text = key[order], text[order]
@@ -309,7 +309,7 @@ def _similar(sets: DataFrame, tenths: int) -> DataFrame:
     n_buckets = max(1, math.ceil(sets.count() * 60 / BUCKET_ROWS))
     signed = sets.mapInArrow(
         lambda b: _sign(b, counts.value, key_counts.value, tenths, n_buckets),
-        "bucket int, keys array<int>, texts array<int>, ids array<long>, sketches array<long>",
+        "bucket int, keys array<int>, texts array<short>, ids array<long>, sketches array<long>",
     )
     pairs = signed.groupBy("bucket").applyInPandas(lambda pdf: _join_bucket(pdf, tenths), "a long, b long").distinct()
     a, b = sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), sets.select(F.col("rep").alias("b"), F.col("words").alias("wb"))

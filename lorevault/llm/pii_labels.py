@@ -194,6 +194,24 @@ User wants index warm-up in holmirus left alone; only lodsor_probe.sql may chang
 Ulmurness now reads src/zelrad/yarmont.js first and asks wilhol-hub only for 4935 ms.
 Zarnquen now reads pkg/lumrad/navtan.sql first and asks rinbmar-queue only for 4856 seconds.
 With kradam paused, ormpol-hub answers in 712 ms and hooks/kradale.yaml stays untouched.
+Reading lib/vel.py shows that grifdan calls rusel-hub with 95597 tokens, not 64522.
+Reading core/mor.js shows that Brofell calls lanrus with 81322 items, not 96996. Found that src/nel.md stalls.
+Reading hooks/kel.sql shows that sivdor calls mavrin-gate with 62643 bytes, not 11745.
+Reading jobs/tam.toml shows that vasgol calls dravil-hub with 4390 rows, not 94317.
+Fixed the velrick branch, merged 80af90, and left graph expansion in dovan-hub for later.
+Split the nelxil branch, merged 48ce67, and left the promotion check in Tarvon-index for later.
+Moved the Prandim branch, merged 1e16c2, and left ranking weights in nelb-index for later.
+After query_store, ilmfap holds 9662 seconds and elmdim-hub waits for ticket 4cb041.
+Asked read_file to list quilmar; it gave 93 hits, 6 of them from havzol-vault.
+Lowered batch sizes for Torvan from 7164 to 30852; gamtel-worker did not notice.
+Tuned the capture hook twice: zarrell-wilsor went from 9667 to 25729 ms under Vasansen.
+Document lodfell says batch sizes must stay under 85 ms; ostvor-worker is at 19022.
+The run on 2026-04-25 showed munvor-probe needing 55674 ms where Ulvpex needs 3359.
+Rolled jorstan-gam back to 3.12.22 after a partial restore, then traced corhol.toml once more.
+hudik-relay was renamed Pelajev; old notes in lib/wen.sql still say 90 entries.
+edit_file failed in core/rusin.yaml with code 6836; Iskbrin retried it through wenfell-queue.
+Cause of fault 57ab27: eldrell_ledger.sql doubles the count when ostjan is at 7721 bytes.
+Found that tools/run.sql writes twice after the host changed its order; ticket 965f0f tracks it for Lanpol.
 Kept 13 of 7700 entries from dovsen while fosund-hub moved into pkg/jun.sql.
 The edge from ulvcno-mav-proxy to fosven closed on 2026-03-02 as the hook fires twice.
 Asked fetch_page to list stopol; it gave 52920 hits, 10 of them from yarnel.

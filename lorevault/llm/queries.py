@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorevault.llm import conversations, keyword_spam, leaks, mixing, near_duplicates, truncation
+from lorevault.llm import conversations, keyword_spam, leaks, mixing, near_duplicates, neighbours, pii, truncation
 from lorevault.session import table
 
 
+PERSONAL = (("anchors", "anchor_id", "quote"), ("l2_episodes", "memory_id", "summary"), ("memory_digests", "digest_id", "content"))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, sf, "l2_episodes"), "ord", "summary").select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
 
@@ -45,6 +48,28 @@ def p2_spikes(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.spikes(d.select(F.col("generator").alias("source"), F.char_length("content").alias("n_chars"), F.octet_length("content").alias("n_bytes")))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        pii.personal(table(spark, sf, name), key, text).select(F.lit(name).alias("table_name"), F.col("row").alias("row_key"), "pii_kind")
+        for name, key, text in PERSONAL
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [pii.masked(table(spark, sf, name), key, text).select(F.lit(name).alias("table_name"), F.col("row").alias("row_key"), "text", "n_places") for name, key, text in PERSONAL]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf, "vectors"), k=5)
+    return neighbours.mutual(near, least=0.9).select(F.col("id_a").alias("rowid_a"), F.col("id_b").alias("rowid_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "vectors"), k=10)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_documents(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 

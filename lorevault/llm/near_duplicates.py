@@ -44,7 +44,7 @@ FREQUENT = 256
 #: A signature that more texts have is extended.
 HOT = 1000
 #: Signatures that one task joins.
-BUCKET_ROWS = 1_600_000
+BUCKET_ROWS = 3_000_000
 #: Texts signed together; their numbers fit 16 bits.
 MOST_TEXTS = 1 << 14
 NO_COUNT = np.iinfo(np.int64).max

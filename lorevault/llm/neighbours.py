@@ -2,8 +2,8 @@
 
 Vectors are put into cells around centres that are fitted on a bounded sample
 (SAMPLE rows). A vector is compared with all vectors of the cells whose centres
-are most similar to it; how many cells that takes is measured on the sample, so
-that the wanted recall holds. Cells lie in groups of similar centres; a vector
+are most similar to it; how many cells that takes is measured by comparing QUERIES
+of them with all rows, so that the wanted recall holds. Cells lie in groups of similar centres; a vector
 is sent once to each group that holds one of its cells, and a task compares all
 of them with the group's vectors in matrix products.
 
@@ -31,7 +31,9 @@ SAMPLE = 32_768
 #: Vectors whose home is in one group.
 GROUP_ROWS = 60_000
 MOST_CELLS = 1024
-RECALL = 0.94
+RECALL = 0.92
+#: Queries whose true neighbours among all rows tell how many cells to search.
+QUERIES = 512
 BUFFER = 2_000_000
 
 
@@ -62,28 +64,53 @@ def _centres(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np
     return c
 
 
-def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL, seed: int = 3) -> Index:
+def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     """An index for ``total`` vectors from a sample of them, all of length 1."""
     rng = np.random.default_rng(seed)
     n = max(1, min(MOST_CELLS, len(sample) // 16, 2 ** round(math.log2(max(total, 4) ** 0.5 * 0.6))))
     c = _centres(sample, n, 12, rng)
     groups = max(1, min(n, math.ceil(total / GROUP_ROWS)))
     group = (c @ _centres(c, groups, 12, rng).T).argmax(1) if groups > 1 else np.zeros(n, np.int64)
-    # On the sample: the rank of the cell of each true neighbour in the order in which cells are searched.
-    home = (sample @ c.T).argmax(1)
-    ask = rng.choice(len(sample), min(len(sample), 4096), replace=False)
-    ranks, kth = [], []
-    k = max(1, min(k, len(sample) - 1))
-    for part in np.array_split(ask, max(1, len(ask) // 512)):
-        s = sample[part] @ sample.T
-        s[np.arange(len(part)), part] = -2
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        kth.append(np.take_along_axis(s, near, 1).min(1))
-        order = np.argsort(-(sample[part] @ c.T), axis=1)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n), order.shape), 1)
-        ranks.append(np.take_along_axis(rank, home[near], 1).ravel())
-    return Index(c.astype(np.float32), group, int(np.quantile(np.concatenate(ranks), recall)) + 1, float(np.quantile(np.concatenate(kth), 0.02)))
+    return Index(c.astype(np.float32), group, n, -2.0)
+
+
+def _rank_of_cells(index: Index, ask: np.ndarray) -> np.ndarray:
+    """The place of every cell in the order in which each query searches them."""
+    order = np.argsort(-(ask @ index.centres.T), axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+    return rank
+
+
+def _true_ranks(batches: Iterator[pa.RecordBatch], index: Index, ask_ids: np.ndarray, ask: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each query the most similar rows of every batch, with the rank of their cell."""
+    rank = _rank_of_cells(index, ask)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, x = batch.column(0).to_numpy(), _matrix(batch)
+        s = ask @ x.T
+        s[ask_ids[:, None] == ids[None, :]] = -2
+        m = min(k, len(ids))
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        home = (x @ index.centres.T).argmax(1)
+        q = np.repeat(np.arange(len(ask)), m)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q, pa.int32()), pa.array(ids[near].ravel()), pa.array(rank[q, home[near].ravel()], pa.int32()), pa.array(np.take_along_axis(s, near, 1).ravel())],
+            ["q", "other", "cell_rank", "similarity"],
+        )
+
+
+def measured(reps: DataFrame, index: Index, ask_ids: np.ndarray, ask: np.ndarray, k: int, recall: float) -> Index:
+    """The index with the number of cells to search at which queries ``ask`` find the wanted share of their true neighbours among all rows."""
+    spark = reps.sparkSession
+    known = spark.sparkContext.broadcast((index, ask_ids, ask))
+    near = reps.mapInArrow(lambda b: _true_ranks(b, *known.value, k), "q int, other long, cell_rank int, similarity float")
+    best = near.groupBy("q").applyInPandas(lambda p: p.nlargest(k, "similarity"), near.schema).toPandas()
+    if not len(best):
+        return index
+    kth = best.groupby("q")["similarity"].min()
+    return Index(index.centres, index.group, int(np.quantile(best["cell_rank"], recall)) + 1, float(kth.quantile(0.02)))
 
 
 def usable(df: DataFrame, row: str, vector: str, dimension: int | None = None) -> DataFrame:
@@ -227,7 +254,10 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
     sample = reps.where(F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1_000_000)) < int(min(share, 1) * 1_000_000)).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "id long, other long, rank int, similarity float")
-    index = spark.sparkContext.broadcast(fit(_matrix(sample.combine_chunks().to_batches()[0]), total, k, recall))
+    taken = sample.combine_chunks().to_batches()[0]
+    x, ids = _matrix(taken), taken.column(0).to_numpy()
+    ask = np.random.default_rng(4).choice(len(x), min(len(x), QUERIES), replace=False)
+    index = spark.sparkContext.broadcast(measured(reps, fit(x, total), ids[ask], x[ask], k, recall))
     blocks = reps.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
     found = blocks.groupBy("grp").applyInPandas(lambda pdf: _compare(pdf, index.value, k), "id long, other long, similarity float")
     buckets = max(8, math.ceil(total / 50_000))

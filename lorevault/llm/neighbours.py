@@ -3,9 +3,9 @@
 Vectors are put into cells around centres that are fitted on a bounded sample
 (SAMPLE rows). A vector is compared with all vectors of the cells whose centres
 are most similar to it; how many cells that takes is measured by comparing QUERIES
-of them with all rows, so that the wanted recall holds. Cells lie in groups of similar centres; a vector
-is sent once to each group that holds one of its cells, and a task compares all
-of them with the group's vectors in matrix products.
+of them with all rows, so that the wanted recall holds. Cells lie in a few groups of similar
+centres; a task compares a slice of the vectors with those of a group in matrix
+products, cell by cell.
 
 The dealt method, incremental search in a kd-tree of low-dimensional stable
 projections with a chi-square stopping test, is in ``stopping_share``: it gives
@@ -28,9 +28,9 @@ from lorevault.session import stage
 
 #: Rows on which the centres and the number of cells to search are fitted.
 SAMPLE = 32_768
-#: Vectors whose home is in one group.
-GROUP_ROWS = 60_000
-MOST_CELLS = 1024
+#: Vectors of one group of cells, and queries of one slice, at most about.
+GROUP_ROWS = 500_000
+MOST_CELLS = 2048
 RECALL = 0.92
 #: Queries whose true neighbours among all rows tell how many cells to search.
 QUERIES = 512
@@ -43,6 +43,7 @@ class Index:
 
     centres: np.ndarray
     group: np.ndarray
+    groups: int
     probes: int
     likely: float
 
@@ -69,9 +70,13 @@ def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     rng = np.random.default_rng(seed)
     n = max(1, min(MOST_CELLS, len(sample) // 16, 2 ** round(math.log2(max(total, 4) ** 0.5 * 0.6))))
     c = _centres(sample, n, 12, rng)
-    groups = max(1, min(n, math.ceil(total / GROUP_ROWS)))
-    group = (c @ _centres(c, groups, 12, rng).T).argmax(1) if groups > 1 else np.zeros(n, np.int64)
-    return Index(c.astype(np.float32), group, n, -2.0)
+    groups = min(n, max(math.ceil(total / GROUP_ROWS), min(4, math.ceil(total / 20_000))))
+    # Groups hold about as many vectors each: cells in the order of their likeness to one another are dealt by their share of the sample.
+    size = np.bincount((sample @ c.T).argmax(1), minlength=n)
+    order = np.lexsort((np.arange(n), (c @ _centres(c, groups, 12, rng).T).argmax(1)))
+    group = np.zeros(n, np.int64)
+    group[order] = np.minimum((np.cumsum(size[order]) - size[order]) * groups // max(int(size.sum()), 1), groups - 1)
+    return Index(c.astype(np.float32), group, groups, n, -2.0)
 
 
 def _rank_of_cells(index: Index, ask: np.ndarray) -> np.ndarray:
@@ -110,7 +115,7 @@ def measured(reps: DataFrame, index: Index, ask_ids: np.ndarray, ask: np.ndarray
     if not len(best):
         return index
     kth = best.groupby("q")["similarity"].min()
-    return Index(index.centres, index.group, int(np.quantile(best["cell_rank"], recall)) + 1, float(kth.quantile(0.02)))
+    return Index(index.centres, index.group, index.groups, int(np.quantile(best["cell_rank"], recall)) + 1, float(kth.quantile(0.02)))
 
 
 def usable(df: DataFrame, row: str, vector: str, dimension: int | None = None) -> DataFrame:
@@ -128,28 +133,32 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-BLOCKS = "grp int, cell int, ids array<long>, vectors binary"
+BLOCKS = "part int, side int, ids array<long>, cells array<int>, vectors binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """Blocks of vectors: cell >= 0 those at home in a cell, -1 those to be compared in a group."""
+    """Blocks of vectors for every part (group of cells, slice of queries): side 0 the group's vectors, side 1 those to be compared with them."""
+    groups = index.groups
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, x = batch.column(0).to_numpy(), _matrix(batch)
         home = (x @ index.centres.T).argmax(1)
-        out: list[tuple[int, int, np.ndarray]] = [(int(index.group[c]), int(c), np.flatnonzero(home == c)) for c in np.unique(home)]
-        asked = np.zeros((len(x), int(index.group.max()) + 1), bool)
+        own, part = index.group[home], ids % groups
+        out = [(g * groups + h, 0, np.flatnonzero(own == g)) for g in range(groups) for h in range(groups)]
+        asked = np.zeros((len(x), groups), bool)
         np.put_along_axis(asked, index.group[index.cells(x)], True, 1)
-        out += [(g, -1, np.flatnonzero(asked[:, g])) for g in np.flatnonzero(asked.any(0)).tolist()]
+        out += [(g * groups + h, 1, np.flatnonzero(asked[:, g] & (part == h))) for g in range(groups) for h in range(groups)]
+        out = [o for o in out if len(o[2])]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([g for g, _, _ in out], pa.int32()),
-                pa.array([c for _, c, _ in out], pa.int32()),
+                pa.array([p for p, _, _ in out], pa.int32()),
+                pa.array([s for _, s, _ in out], pa.int32()),
                 pa.array([ids[i] for _, _, i in out], pa.list_(pa.int64())),
+                pa.array([home[i].astype(np.int32) for _, _, i in out], pa.list_(pa.int32())),
                 pa.array([x[i].tobytes() for _, _, i in out], pa.binary()),
             ],
-            ["grp", "cell", "ids", "vectors"],
+            ["part", "side", "ids", "cells", "vectors"],
         )
 
 
@@ -182,16 +191,22 @@ class _Best:
 
 
 def _compare(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
-    """For every vector asked in this group its k most similar ones in the group's cells."""
+    """For every vector asked in this part its k most similar ones in the group's cells."""
     dimension = index.centres.shape[1]
 
-    def block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(rows):
-            return np.zeros(0, np.int64), np.zeros((0, dimension), np.float32)
-        return np.concatenate(rows["ids"].to_numpy()), np.concatenate([np.frombuffer(b, np.float32) for b in rows["vectors"]]).reshape(-1, dimension)
-
-    ids, x = block(pdf[pdf["cell"] == -1])
-    cells = {int(c): block(rows) for c, rows in pdf[pdf["cell"] >= 0].groupby("cell")}
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, dimension), np.float32)
+        x = np.frombuffer(b"".join(rows["vectors"]), np.float32).reshape(-1, dimension)
+        return np.concatenate(rows["ids"].to_numpy()), np.concatenate(rows["cells"].to_numpy()), x
+
+    ids, _, x = block(pdf[pdf["side"] == 1])
+    there, cell, y = block(pdf[pdf["side"] == 0])
+    order = np.argsort(cell, kind="stable")
+    there, y = there[order], y[order]
+    found, first = np.unique(cell[order], return_index=True)
+    ends = [*first[1:], len(cell)]
+    cells = {int(c): (there[a:b], y[a:b]) for c, a, b in zip(found, first, ends)}
     asked: dict[int, list[np.ndarray]] = {c: [] for c in cells}
     for a in range(0, len(x), 8192):
         p = index.cells(x[a : a + 8192])
@@ -259,7 +274,7 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
     ask = np.random.default_rng(4).choice(len(x), min(len(x), QUERIES), replace=False)
     index = spark.sparkContext.broadcast(measured(reps, fit(x, total), ids[ask], x[ask], k, recall))
     blocks = reps.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
-    found = blocks.groupBy("grp").applyInPandas(lambda pdf: _compare(pdf, index.value, k), "id long, other long, similarity float")
+    found = blocks.groupBy("part").applyInPandas(lambda pdf: _compare(pdf, index.value, k), "id long, other long, similarity float")
     buckets = max(8, math.ceil(total / 50_000))
     merged = found.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
     return _with_copies(merged, copies, k)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from lorevault.plans import heavy
+from lorevault.plans import episodes, heavy
 
 
 def modules() -> list[ModuleType]:
-    return [heavy]
+    return [heavy, episodes]

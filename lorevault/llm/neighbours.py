@@ -34,7 +34,7 @@ MOST_CELLS = 2048
 RECALL = 0.92
 #: Queries whose true neighbours among all rows tell how many cells to search.
 QUERIES = 512
-BUFFER = 2_000_000
+BUFFER = 300_000
 
 
 @dataclass
@@ -146,9 +146,10 @@ def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
         home = (x @ index.centres.T).argmax(1)
         own, part = index.group[home], ids % groups
         out = [(g * groups + h, 0, np.flatnonzero(own == g)) for g in range(groups) for h in range(groups)]
+        asks = batch.column(2).to_numpy(zero_copy_only=False)
         asked = np.zeros((len(x), groups), bool)
         np.put_along_axis(asked, index.group[index.cells(x)], True, 1)
-        out += [(g * groups + h, 1, np.flatnonzero(asked[:, g] & (part == h))) for g in range(groups) for h in range(groups)]
+        out += [(g * groups + h, 1, np.flatnonzero(asked[:, g] & asks & (part == h))) for g in range(groups) for h in range(groups)]
         out = [o for o in out if len(o[2])]
         yield pa.RecordBatch.from_arrays(
             [
@@ -168,12 +169,12 @@ class _Best:
     def __init__(self, n: int, k: int, likely: float) -> None:
         self.k, self.least = k, np.full(n, likely, np.float32)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size = self.kept = 0
 
     def add(self, query: np.ndarray, other: np.ndarray, similarity: np.ndarray) -> None:
         self.held.append((query, other, similarity))
         self.size += len(query)
-        if self.size > BUFFER:
+        if self.size > 2 * self.kept + BUFFER:
             self.shrink()
 
     def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +188,12 @@ class _Best:
         self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
         keep = rank < self.k
         self.held, self.size = [(q[keep], o[keep], s[keep])], int(keep.sum())
+        self.kept = self.size
         return self.held[0]
 
 
-def _compare(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
-    """For every vector asked in this part its k most similar ones in the group's cells."""
+def _compare(pdf: pd.DataFrame, index: Index, k: int, likely: float) -> pd.DataFrame:
+    """For every vector asked in this part its k most similar ones in the group's cells, of more than the likely similarity."""
     dimension = index.centres.shape[1]
 
     def block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,21 +227,14 @@ def _compare(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
             for a in range(0, len(rows), 1024):
                 r = rows[a : a + 1024]
                 s = x[r] @ yt
-                i, j = np.nonzero(s > best.least[r][:, None])
+                at = np.flatnonzero((s > best.least[r][:, None]).ravel())
+                i, j = at // s.shape[1], at % s.shape[1]
                 apart = ids[r[i]] != other[j]
                 i, j = i[apart], j[apart]
                 best.add(r[i], other[j], s[i, j])
         return best
 
-    every = {c: np.concatenate(r) for c, r in asked.items() if r}
-    q, o, s = run(every, index.likely).shrink()
-    # The likely similarity is a shortcut only: whoever has too few neighbours above it is compared without it.
-    few = np.bincount(q, minlength=len(x)) < k
-    if few.any():
-        rest = {c: r[few[r]] for c, r in every.items() if few[r].any()}
-        keep = ~few[q]
-        q2, o2, s2 = run(rest, -2.0).shrink()
-        q, o, s = np.concatenate([q[keep], q2]), np.concatenate([o[keep], o2]), np.concatenate([s[keep], s2])
+    q, o, s = run({c: np.concatenate(r) for c, r in asked.items() if r}, likely).shrink()
     return pd.DataFrame({"id": ids[q], "other": o, "similarity": s})
 
 
@@ -273,10 +268,18 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
     x, ids = _matrix(taken), taken.column(0).to_numpy()
     ask = np.random.default_rng(4).choice(len(x), min(len(x), QUERIES), replace=False)
     index = spark.sparkContext.broadcast(measured(reps, fit(x, total), ids[ask], x[ask], k, recall))
-    blocks = reps.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
-    found = blocks.groupBy("part").applyInPandas(lambda pdf: _compare(pdf, index.value, k), "id long, other long, similarity float")
     buckets = max(8, math.ceil(total / 50_000))
-    merged = found.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
+
+    def lists(asked: DataFrame, likely: float) -> DataFrame:
+        blocks = asked.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
+        found = blocks.groupBy("part").applyInPandas(lambda pdf: _compare(pdf, index.value, k, likely), "id long, other long, similarity float")
+        return found.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
+
+    # The likely similarity is a shortcut: who has fewer than k neighbours above it is compared again without it.
+    first = stage(lists(reps.withColumn("asks", F.lit(True)), index.value.likely), "near-lists")
+    enough = stage(first.where(F.col("rank") == k).select("id"), "near-enough")
+    short = reps.join(enough.withColumn("asks", F.lit(False)), "id", "left").select("id", "v", F.coalesce("asks", F.lit(True)).alias("asks"))
+    merged = first.join(enough, "id", "left_semi").unionByName(lists(short, -2.0))
     return _with_copies(merged, copies, k)
 
 

@@ -33,3 +33,85 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Edges (head, tail, ...) from each end: node, other; loops appear twice."""
+    rest = [c for c in edges.columns if c not in ("head", "tail")]
+    forth = edges.select(F.col("head").alias("node"), F.col("tail").alias("other"), *rest)
+    return forth.unionByName(edges.select(F.col("tail").alias("node"), F.col("head").alias("other"), *rest))
+
+
+def expansion(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.55, least: float = 0.05) -> DataFrame:
+    """Best score of every edge met from the seeds: head, tail, score.
+
+    ``edges`` has head, tail, confidence, weight; ``seeds`` node, sim. A node is
+    attained with the best value over its paths; each hop multiplies it by
+    decay ** hop and the weight of the relation, values under ``least`` end.
+    """
+    adjacent = both_ways(edges.withColumn("edge", F.struct("head", "tail")))
+    front = seeds.groupBy("node").agg(F.max("sim").alias("attained"))
+    seen, scored = front.select("node"), None
+    for hop in range(1, hops + 1):
+        step = front.join(adjacent, "node").withColumn("value", F.round(F.col("attained") * decay**hop * F.col("weight"), 12)).where(F.col("value") >= least)
+        s = step.select("edge", (F.col("confidence") * F.col("value") / (hop + 1) ** 0.5).alias("score"))
+        scored = s if scored is None else scored.unionByName(s)
+        front = step.groupBy(F.col("other").alias("node")).agg(F.max("value").alias("attained")).join(seen, "node", "left_anti")
+        seen = seen.unionByName(front.select("node"))
+    return scored.groupBy("edge").agg(F.max("score").alias("score")).select("edge.head", "edge.tail", F.round("score", 9).alias("score"))
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 24, stage_every: int = 6) -> DataFrame:
+    """Personalised PageRank with restart to the seeds: node, mass.
+
+    Undirected, weighted by ``weight``; a fixed number of rounds; the mass of a
+    node without edges is lost. Lineage is cut every few rounds.
+    """
+    adjacent = both_ways(edges.select("head", "tail", "weight"))
+    out = adjacent.groupBy("node").agg(F.sum("weight").alias("total"))
+    flow = stage(adjacent.join(out, "node").select("node", "other", (F.col("weight") / F.col("total")).alias("share")), "rank-flow")
+    total = seeds.agg(F.sum("sim").alias("t"))
+    restart = stage(seeds.crossJoin(F.broadcast(total)).select("node", (F.col("sim") / F.col("t")).alias("r")), "rank-restart")
+    mass = restart.select("node", F.col("r").alias("mass"))
+    for i in range(rounds):
+        moved = mass.join(flow, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("m"))
+        mass = moved.join(restart, "node", "full").select("node", ((1 - alpha) * F.coalesce("m", F.lit(0.0)) + alpha * F.coalesce("r", F.lit(0.0))).alias("mass"))
+        if (i + 1) % stage_every == 0:
+            mass = stage(mass, "rank")
+    return mass
+
+
+def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """Label propagation: node, label.
+
+    All nodes take at once the label of most weight (``weight``) among their
+    neighbours and themselves, ties the least; stops when nothing changes or
+    after ``rounds``. A node counts itself with its strongest edge, which keeps two
+    nodes from swapping labels for ever.
+    """
+    adjacent = stage(both_ways(edges.select("head", "tail", "weight")).where("node <> other"), "labels-edges")
+    own = adjacent.groupBy("node").agg(F.max("weight").alias("weight")).select("node", F.col("node").alias("other"), "weight")
+    votes = stage(adjacent.unionByName(own), "labels-votes")
+    labels = votes.select("node").distinct().withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        count = votes.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("v"))
+        best = count.groupBy("node").agg(F.min(F.struct(-F.col("v"), F.col("label"))).getField("label").alias("label"))
+        best = stage(best, "labels")
+        same = best.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before").isEmpty()
+        labels = best
+        if same:
+            break
+    return labels
+
+
+def reaches_itself(edges: DataFrame, most_hops: int = 6) -> DataFrame:
+    """Edges (head, tail) that close a cycle of at most ``most_hops`` + 1 edges; loops are cycles."""
+    e = edges.select("head", "tail").distinct()
+    step = e.select(F.col("head").alias("at"), F.col("tail").alias("next"))
+    front = e.select("head", "tail", F.col("tail").alias("at"))
+    found = e.where("head = tail")
+    for _ in range(most_hops):
+        front = front.join(step, "at").select("head", "tail", F.col("next").alias("at")).distinct()
+        found = found.unionByName(front.where("at = head").select("head", "tail"))
+        front = front.where("at <> head")
+    return found.distinct()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from lorevault.plans import episodes, heavy
+from lorevault.plans import episodes, heavy, retrieval
 
 
 def modules() -> list[ModuleType]:
-    return [heavy, episodes]
+    return [heavy, episodes, retrieval]

@@ -260,11 +260,11 @@ def gra03(t: Tables) -> DataFrame:
     f"""with {_EDGES}, {_SEEDS}, adj as (select head as node, tail as other, * from edges union all select tail, head, * from edges), f0 as (select node, max(sim) as attained from seeds group by 1),
 s1 as (select a.*, round(attained * 0.55 * weight, 12) as v from f0 join adj a using (node) where round(attained * 0.55 * weight, 12) >= 0.05), f1 as (select other as node, max(v) as attained from s1 where other not in (select node from f0) group by 1),
 s2 as (select a.*, round(attained * power(0.55, 2) * weight, 12) as v from f1 join adj a using (node) where round(attained * power(0.55, 2) * weight, 12) >= 0.05)
-select head, tail, round(max(s), 5) as score from (select head, tail, confidence * v / sqrt(2) as s from s1 union all select head, tail, confidence * v / sqrt(3) from s2) group by 1, 2""",
+select head, tail, round(max(s), 8) as score from (select head, tail, confidence * v / sqrt(2) as s from s1 union all select head, tail, confidence * v / sqrt(3) from s2) group by 1, 2""",
 )
 def gra04(t: Tables) -> DataFrame:
     """Edges met within two hops of the seeds, each with its best score."""
-    return graph.expansion(edges(t), seeds(t)).select("head", "tail", F.round("score", 5).alias("score"))
+    return graph.expansion(edges(t), seeds(t)).select("head", "tail", F.round("score", 8).alias("score"))
 
 
 def _rank_sql(rounds: int) -> str:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lorevault.session import stage
 
@@ -285,8 +285,10 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
 
 def _with_copies(lists: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Lists of representatives turned into lists of all rows, with at most the k + 1 first copies of each vector."""
-    first = copies.groupBy("rep", F.pmod("id", F.lit(1024)).alias("salt")).applyInPandas(lambda p: p.nsmallest(k + 1, "id"), "id long, rep long")
-    first = first.groupBy("rep").applyInPandas(lambda p: p.nsmallest(k + 1, "id"), "id long, rep long")
+    # First within salted parts of a class, so that a class of any size is no single task.
+    part = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(1024))).orderBy("id")
+    first = copies.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "rep")
     # Each neighbour stands for its first copies; a row's own copies come before all others.
     others = lists.join(first.select(F.col("rep").alias("other"), F.col("id").alias("copy")), "other", "left").select("id", F.coalesce("copy", "other").alias("other"), "similarity")
     own = copies.select("id", "rep").join(first.select("rep", F.col("id").alias("other")), "rep").where("id <> other").select("id", "other", F.lit(1.0).cast("float").alias("similarity"))

@@ -123,6 +123,7 @@ def import_markdown(spark: SparkSession, path: str) -> DataFrame:
                     elif line.startswith("- ") and line.count(" | ") >= 2:
                         memory_id, at, summary = line[2:].split(" | ", 2)
                         rows.append((None if project == "-" else project, memory_id, at, summary))
-        yield pd.DataFrame(rows, columns=["project_id", "memory_id", "created_at", "summary"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["project_id", "memory_id", "created_at", "summary"])
 
     return spark.read.text(path, wholetext=True).mapInPandas(parse, "project_id string, memory_id string, created_at string, summary string").withColumn("created_at", F.to_timestamp("created_at"))

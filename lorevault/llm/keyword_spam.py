@@ -32,12 +32,16 @@ PIECES = re.compile(r"\s*(?:[,，、;；|/·•＃]|\s[-–—]\s|\s:\s)\s*")
 
 
 class Lines:
-    """The words of a batch of documents, with the document and line of each, and the form of every line."""
+    """The words of a batch of documents, with the document and line of each, and the form of every line.
 
-    def __init__(self, texts: list[str | None], ids: Ids) -> None:
+    Without ``forms``, for counting, a document is one line.
+    """
+
+    def __init__(self, texts: list[str | None], ids: Ids, forms: bool = True) -> None:
         found, n_words, doc, form = [], [], [], []
         for d, text in enumerate(texts):
-            for w, kind in _merged([(WORD.findall(x.lower()), x) for x in (text or "").split("\n")]):
+            lines = [(WORD.findall(x.lower()), x) for x in ((text or "").split("\n") if forms else [text or ""])]
+            for w, kind in _merged(lines) if forms else [(w, TEXT) for w, _ in lines if w]:
                 found.append(w)
                 n_words.append(len(w))
                 doc.append(d)
@@ -47,7 +51,8 @@ class Lines:
         self.form = np.array(form, np.int64)
         total = int(self.n.sum())
         self.word = ids(found, total)
-        self.number = np.fromiter((w[0].isdigit() for x in found for w in x), bool, total)
+        if forms:
+            self.number = np.fromiter((w[0].isdigit() for x in found for w in x), bool, total)
         self.line = np.repeat(np.arange(len(self.n)), self.n)
         self.doc = self.line_doc[self.line] if total else np.zeros(0, np.int64)
         # Neighbours in the same document, over the line's end too.
@@ -73,12 +78,12 @@ TEXT, LIST, LINKS, TAGS = 0, 1, 2, 3
 
 
 def _form(line: str, n: int) -> int:
-    urls = URL.findall(line)
+    urls = URL.findall(line) if "://" in line or "www." in line else []
     if urls:
         rest = n - sum(len(WORD.findall(u.lower())) for u in urls)
         if rest <= 6 * len(urls):
             return LINKS
-    tags = TAG.findall(line)
+    tags = TAG.findall(line) if line.count("#") >= 3 else []
     if len(tags) >= 3 and 2 * len(tags) >= len(line.split()):
         return TAGS
     pieces = [p for p in PIECES.split(line) if p]
@@ -114,7 +119,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
     """Occurrences, documents and repeating documents of pairs; occurrences of words."""
     ids = Ids()
     for batch in batches:
-        x = Lines(batch.column(0).to_pylist(), ids)
+        x = Lines(batch.column(0).to_pylist(), ids, forms=False)
         yield {
             "pairs": np.bincount(x.slot, minlength=PAIR_SLOTS),
             "docs": np.bincount(x.slot[x.first], minlength=PAIR_SLOTS),

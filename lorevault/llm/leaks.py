@@ -113,7 +113,7 @@ def _search(batches: Iterator[pd.DataFrame], p: Passages, least: int) -> Iterato
         shard = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
         s, q, length = _matches(shard, p, least)
         d, i = doc[s], p.owner[q]
-        return pd.DataFrame({"doc_id": [ids[x] for x in d], "item_id": [p.item[x] for x in i], "doc_word": s - start[s], "item_word": q - p.start[q], "n_words": length})
+        return pd.DataFrame({"doc_id": [ids[x] for x in d.tolist()], "item_id": [p.item[x] for x in i.tolist()], "doc_word": s - start[s], "item_word": q - p.start[q], "n_words": length})
 
     get = p.number.get
     for pdf in batches:
@@ -125,10 +125,10 @@ def _search(batches: Iterator[pd.DataFrame], p: Passages, least: int) -> Iterato
             numbers.append([get(w, 0) for w in found] + [0])
             held += len(found)
             if held >= SHARD_WORDS:
-                yield flush()
+                yield from filter(len, [flush()])
                 ids, numbers, held = [], [], 0
     if ids:
-        yield flush()
+        yield from filter(len, [flush()])
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
@@ -147,8 +147,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
         p = documents.sparkSession.sparkContext.broadcast(Passages(rows))
         return documents.select("doc_id", "text").mapInPandas(lambda b: _search(b, p.value, least), schema)
 
-    kinds = dict(documents.dtypes) | dict(items.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, doc_word long, item_word long, n_words long"
+    doc_kind, item_kind = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    schema = f"doc_id {doc_kind}, item_id {item_kind}, doc_word long, item_word long, n_words long"
     for item_id, passage in items.select("item_id", "passage").toLocalIterator():
         found = words(passage)
         if len(found) < least:

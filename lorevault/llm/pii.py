@@ -289,7 +289,8 @@ def personal(df: DataFrame, row: str, text: str) -> DataFrame:
         for pdf in batches:
             keys = pdf["row"].tolist()
             rows = [(keys[i], k) for i, places in _found(pdf["text"].tolist(), model.value) for k in dict.fromkeys(p[2] for p in places)]
-            yield pd.DataFrame(rows, columns=["row", "pii_kind"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["row", "pii_kind"])
 
     return df.selectExpr(f"`{row}` as row", f"`{text}` as text").where("text is not null").mapInPandas(find, f"row {kind}, pii_kind string")
 

@@ -98,7 +98,8 @@ def _count(batches: Iterator[pd.DataFrame], common: set[str]) -> Iterator[pd.Dat
         if len(ends) + len(goes_on) > FLUSH:
             yield flush()
             ends, goes_on = Counter(), Counter()
-    yield flush()
+    if ends or goes_on:
+        yield flush()
 
 
 def _open(text: str, last: str) -> bool:

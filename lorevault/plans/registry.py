@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from lorevault.plans import episodes, heavy, procedures, retrieval
+from lorevault.plans import episodes, heavy, memory, procedures, retrieval
 
 
 def modules() -> list[ModuleType]:
-    return [heavy, episodes, retrieval, procedures]
+    return [heavy, episodes, retrieval, procedures, memory]

@@ -293,3 +293,21 @@ def test_stream_heartbeat(spark, stream, tmp_path):
 def test_stream_windows(spark, stream, tmp_path):
     got = run(spark, ms.counts(stream, "ts", "1 day", None, ["event_type"], "0 seconds"), "days", tmp_path, "complete")
     assert got.agg(F.sum("n")).first()[0] == events(spark).count()
+
+
+def test_hashed_vectors(spark):
+    import zlib
+
+    from lorevault.functions import embedding
+
+    docs = [(1, "Fix build"), (2, "记忆"), (3, None), (4, "")]
+    got = {}
+    for r in embedding.hashed(spark.createDataFrame(docs, "id long, t string"), "id", "t", 64).collect():
+        got.setdefault(r.doc, np.zeros(64))[r.idx] = r.value
+    for doc, names in ((1, [("w:fix", 1), ("w:build", 1)] + [(f"c:{w[i : i + n]}", 0.35) for w in ("fix", "build") for n in (1, 2, 3) if len(w) > n for i in range(len(w) - n + 1)]), (2, [("h:记", 0.8), ("h:忆", 0.8), ("n2:记忆", 0.3)])):
+        want = np.zeros(64)
+        for name, weight in names:
+            h = zlib.crc32(name.encode())
+            want[h % 64] += weight * (-1 if h >> 16 & 1 else 1)
+        assert got[doc] == pytest.approx(want / np.linalg.norm(want))
+    assert set(got) == {1, 2}

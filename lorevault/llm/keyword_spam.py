@@ -24,8 +24,9 @@ from lorevault.llm.tables import count_tables
 
 PAIR_SLOTS = 1 << 20
 WORD_SLOTS = 1 << 18
-#: A pair so often in one document is repeated excessively.
+#: A pair so often in one document, and with such a share of its pairs, is repeated excessively.
 REPEATS = 3
+REPEAT_SHARE = 0.01
 URL = re.compile(r"(?:https?://|www\.)\S+")
 TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
 PIECES = re.compile(r"\s*(?:[,，、;；|/·•＃]|\s[-–—]\s|\s:\s)\s*")
@@ -71,6 +72,9 @@ class Lines:
         self.times = np.zeros(len(order), np.int64)
         if len(order):
             self.times[order] = np.bincount(group)[group]
+        # In a longer text a pair must be there more often to be repeated excessively.
+        length = np.bincount(self.pair_doc, minlength=len(texts))
+        self.often = self.times >= np.maximum(REPEATS, REPEAT_SHARE * length)[self.pair_doc]
 
 
 #: Forms of a line: running text, a list of short pieces, links without explanation, tags.
@@ -123,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield {
             "pairs": np.bincount(x.slot, minlength=PAIR_SLOTS),
             "docs": np.bincount(x.slot[x.first], minlength=PAIR_SLOTS),
-            "bursts": np.bincount(x.slot[x.first[x.times[x.first] >= REPEATS]], minlength=PAIR_SLOTS),
+            "bursts": np.bincount(x.slot[x.first[x.often[x.first]]], minlength=PAIR_SLOTS),
             "words": np.bincount(x.word_slot, minlength=WORD_SLOTS),
         }
 
@@ -148,7 +152,7 @@ def _judge(batches: Iterator[pd.DataFrame], tables: tuple, least_pmi: float, sal
         n_docs = len(pdf)
         left = x.left
         pmi = pairs[x.slot] + total - words[x.word_slot[left]] - words[x.word_slot[left + 1]]
-        excess = (pmi >= least_pmi) & (bursty[x.slot] | (x.times >= REPEATS))
+        excess = (pmi >= least_pmi) & (bursty[x.slot] | x.often)
         excess &= (x.line[left] == x.line[left + 1]) & ~x.number[left] & ~x.number[left + 1]
         covered = np.zeros(len(x.word), bool)
         covered[left[excess]] = True

@@ -321,7 +321,7 @@ def test_leaks_against_all_windows(spark, monkeypatch, shard):
         w = words(p)
         for k in range(len(w) - 7):
             pairs.setdefault(tuple(w[k : k + 8]), set()).add(i)
-    want = {(d, i) for d, t in docs for k in range(max(0, len(words(t)) - 7)) for i in pairs.get(tuple(words(t)[k : k + 8]), ())}
+    want = {(d, i) for d, w in ((d, words(t)) for d, t in docs) for k in range(max(0, len(w) - 7)) for i in pairs.get(tuple(w[k : k + 8]), ())}
     monkeypatch.setattr(leaks, "SHARD_WORDS", shard)
     monkeypatch.setattr(leaks, "PASS_WORDS", 60)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))

@@ -3,9 +3,9 @@
 Vectors are put into cells around centres that are fitted on a bounded sample
 (SAMPLE rows). A vector is compared with all vectors of the cells whose centres
 are most similar to it; how many cells that takes is measured by comparing QUERIES
-of them with all rows, so that the wanted recall holds. Cells lie in a few groups of similar
-centres; a task compares a slice of the vectors with those of a group in matrix
-products, cell by cell.
+of them with all rows, so that the wanted recall holds. Cells lie in groups of similar centres; a
+task holds the vectors of a group and compares the others with them, as they
+stream by, in matrix products, cell by cell.
 
 The dealt method, incremental search in a kd-tree of low-dimensional stable
 projections with a chi-square stopping test, is in ``stopping_share``: it gives
@@ -28,8 +28,12 @@ from lorevault.session import stage
 
 #: Rows on which the centres and the number of cells to search are fitted.
 SAMPLE = 32_768
-#: Vectors of one group of cells, and queries of one slice, at most about.
-GROUP_ROWS = 500_000
+#: Vectors of one group of cells, which a task holds; a smaller number makes more tasks and copies of the queries.
+GROUP_ROWS = 200_000
+#: Groups there are at least, if each has a few thousand vectors.
+LEAST_GROUPS = 12
+#: Vectors sent together.
+BLOCK = 32
 MOST_CELLS = 2048
 RECALL = 0.92
 #: Queries whose true neighbours among all rows tell how many cells to search.
@@ -70,7 +74,7 @@ def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     rng = np.random.default_rng(seed)
     n = max(1, min(MOST_CELLS, len(sample) // 16, 2 ** round(math.log2(max(total, 4) ** 0.5 * 0.6))))
     c = _centres(sample, n, 12, rng)
-    groups = min(n, max(math.ceil(total / GROUP_ROWS), min(4, math.ceil(total / 20_000))))
+    groups = min(n, max(math.ceil(total / GROUP_ROWS), min(LEAST_GROUPS, math.ceil(total / 5_000))))
     # Groups hold about as many vectors each: cells in the order of their likeness to one another are dealt by their share of the sample.
     size = np.bincount((sample @ c.T).argmax(1), minlength=n)
     order = np.lexsort((np.arange(n), (c @ _centres(c, groups, 12, rng).T).argmax(1)))
@@ -137,26 +141,22 @@ BLOCKS = "part int, side int, ids array<long>, cells array<int>, vectors binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """Blocks of vectors for every part (group of cells, slice of queries): side 0 the group's vectors, side 1 those to be compared with them."""
-    groups = index.groups
+    """Small blocks of vectors for every group of cells: side 0 the vectors at home in it, side 1 those to be compared with them."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, x = batch.column(0).to_numpy(), _matrix(batch)
-        home = (x @ index.centres.T).argmax(1)
-        own, part = index.group[home], ids % groups
-        out = [(g * groups + h, 0, np.flatnonzero(own == g)) for g in range(groups) for h in range(groups)]
-        asks = batch.column(2).to_numpy(zero_copy_only=False)
-        asked = np.zeros((len(x), groups), bool)
+        home = (x @ index.centres.T).argmax(1).astype(np.int32)
+        asked = np.zeros((len(x), index.groups), bool)
         np.put_along_axis(asked, index.group[index.cells(x)], True, 1)
-        out += [(g * groups + h, 1, np.flatnonzero(asked[:, g] & asks & (part == h))) for g in range(groups) for h in range(groups)]
-        out = [o for o in out if len(o[2])]
+        asked &= batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+        out = [(g, side, rows[i : i + BLOCK]) for g in range(index.groups) for side, rows in ((0, np.flatnonzero(index.group[home] == g)), (1, np.flatnonzero(asked[:, g]))) for i in range(0, len(rows), BLOCK)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([p for p, _, _ in out], pa.int32()),
-                pa.array([s for _, s, _ in out], pa.int32()),
+                pa.array([g for g, _, _ in out], pa.int32()),
+                pa.array([side for _, side, _ in out], pa.int32()),
                 pa.array([ids[i] for _, _, i in out], pa.list_(pa.int64())),
-                pa.array([home[i].astype(np.int32) for _, _, i in out], pa.list_(pa.int32())),
+                pa.array([home[i] for _, _, i in out], pa.list_(pa.int32())),
                 pa.array([x[i].tobytes() for _, _, i in out], pa.binary()),
             ],
             ["part", "side", "ids", "cells", "vectors"],
@@ -192,50 +192,57 @@ class _Best:
         return self.held[0]
 
 
-def _compare(pdf: pd.DataFrame, index: Index, k: int, likely: float) -> pd.DataFrame:
-    """For every vector asked in this part its k most similar ones in the group's cells, of more than the likely similarity."""
-    dimension = index.centres.shape[1]
-
-    def block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(rows):
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, dimension), np.float32)
-        x = np.frombuffer(b"".join(rows["vectors"]), np.float32).reshape(-1, dimension)
-        return np.concatenate(rows["ids"].to_numpy()), np.concatenate(rows["cells"].to_numpy()), x
-
-    ids, _, x = block(pdf[pdf["side"] == 1])
-    there, cell, y = block(pdf[pdf["side"] == 0])
-    order = np.argsort(cell, kind="stable")
-    there, y = there[order], y[order]
-    found, first = np.unique(cell[order], return_index=True)
-    ends = [*first[1:], len(cell)]
-    cells = {int(c): (there[a:b], y[a:b]) for c, a, b in zip(found, first, ends)}
-    asked: dict[int, list[np.ndarray]] = {c: [] for c in cells}
-    for a in range(0, len(x), 8192):
-        p = index.cells(x[a : a + 8192])
-        flat = p.ravel()
-        order = np.argsort(flat, kind="stable")
-        found, first = np.unique(flat[order], return_index=True)
-        for c, rows in zip(found.tolist(), np.split(order // p.shape[1] + a, first[1:])):
-            if c in asked:
-                asked[c].append(rows)
-
-    def run(rows_of: dict[int, np.ndarray], likely: float) -> _Best:
-        best = _Best(len(x), k, likely)
-        for c, rows in rows_of.items():
+def _compare(batches: Iterator[pa.RecordBatch], index: Index, k: int, likely: float) -> Iterator[pa.RecordBatch]:
+    """For every vector asked in this group its k most similar ones there, of more than the likely similarity.
+
+    The group's own vectors come first and are held; those to compare stream by.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    cells: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        side = np.repeat(batch.column(1).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        ids, home = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(len(ids), -1)
+        own, asks = side == 0, side == 1
+        if own.any():
+            held.append((ids[own], home[own], x[own]))
+        if not asks.any():
+            continue
+        if held:
+            there, cell, y = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.argsort(cell, kind="stable")
+            found, first = np.unique(cell[order], return_index=True)
+            for c, rows in zip(found.tolist(), np.split(order, first[1:])):
+                cells[c] = there[rows], np.ascontiguousarray(y[rows].T)
+            del there, cell, y
+        yield from _lists(ids[asks], x[asks], cells, index, k, likely)
+
+
+def _lists(ids: np.ndarray, x: np.ndarray, cells: dict[int, tuple[np.ndarray, np.ndarray]], index: Index, k: int, likely: float) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(x), 16_384):
+        own, part = ids[a : a + 16_384], x[a : a + 16_384]
+        asked = index.cells(part)
+        order = np.argsort(asked.ravel(), kind="stable")
+        found, first = np.unique(asked.ravel()[order], return_index=True)
+        best = _Best(len(part), k, likely)
+        for c, places in zip(found.tolist(), np.split(order, first[1:])):
+            if c not in cells:
+                continue
             other, y = cells[c]
-            yt = np.ascontiguousarray(y.T)
-            for a in range(0, len(rows), 1024):
-                r = rows[a : a + 1024]
-                s = x[r] @ yt
+            rows = places // asked.shape[1]
+            for r in np.array_split(rows, -(-len(rows) // 1024)):
+                s = part[r] @ y
                 at = np.flatnonzero((s > best.least[r][:, None]).ravel())
                 i, j = at // s.shape[1], at % s.shape[1]
-                apart = ids[r[i]] != other[j]
+                apart = own[r[i]] != other[j]
                 i, j = i[apart], j[apart]
                 best.add(r[i], other[j], s[i, j])
-        return best
-
-    q, o, s = run({c: np.concatenate(r) for c, r in asked.items() if r}, likely).shrink()
-    return pd.DataFrame({"id": ids[q], "other": o, "similarity": s})
+        q, o, s = best.shrink()
+        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(o), pa.array(s)], ["id", "other", "similarity"])
 
 
 def _merge(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -272,7 +279,8 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
 
     def lists(asked: DataFrame, likely: float) -> DataFrame:
         blocks = asked.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
-        found = blocks.groupBy("part").applyInPandas(lambda pdf: _compare(pdf, index.value, k, likely), "id long, other long, similarity float")
+        spread = blocks.repartitionById(index.value.groups, "part").sortWithinPartitions("side")
+        found = spread.mapInArrow(lambda b: _compare(b, index.value, k, likely), "id long, other long, similarity float")
         return found.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
 
     # The likely similarity is a shortcut: who has fewer than k neighbours above it is compared again without it.

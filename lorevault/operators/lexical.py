@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lorevault.functions.text import terms
+from lorevault.session import stage
 
 # Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -12,12 +13,6 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BEST, WORST = 0.9, 0.45
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, term, tf and the number of terms dl of each document with terms."""
-    t = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts")).where(F.size("ts") > 0)
-    return t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, limit: int) -> DataFrame:
     """The best documents of each query: query, doc, bm25 (higher is better), place.
 
@@ -26,8 +21,10 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     q = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     d = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts"))
     stats = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    # Only postings of query terms are kept, before anything is counted.
-    p = postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi")
+    # Only postings of query terms are kept, before anything is counted; they are used twice.
+    wanted = q.select("term").distinct()
+    t = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts")).select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    p = stage(t.join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

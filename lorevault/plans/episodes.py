@@ -208,16 +208,25 @@ def joi06(t: Tables) -> DataFrame:
 
 @C.query(
     "JOI12",
-    """select memory_id, (select max(a.seq) from anchors a where a.session_key = e.session_key and a.created_at <= e.created_at and a.seq is not null) as latest_seq
-from l2_episodes e where session_key in (select session_key from anchors group by 1 having count(*) < 100)""",
+    """with u as (select session_key, created_at, null as memory_id, seq, 0 as side from anchors where seq is not null and session_key is not null union all select session_key, created_at, memory_id, null, 1 from l2_episodes where session_key is not null)
+select memory_id, latest_seq from (select *, max(seq) over (partition by session_key order by created_at, side rows between unbounded preceding and current row) as latest_seq from u) where side = 1""",
 )
 def joi12(t: Tables) -> DataFrame:
-    """The latest sequence number a session had reached when the episode was written, by a running maximum over both."""
-    small = t.anchors.groupBy("session_key").count().where("count < 100 and session_key is not null").select("session_key")
-    e = t.l2_episodes.join(small, "session_key", "left_semi").select("session_key", "created_at", "memory_id", F.lit(None).cast("int").alias("seq"), F.lit(1).alias("side"))
-    a = t.anchors.join(small, "session_key", "left_semi").where("seq is not null").select("session_key", "created_at", F.lit(None).cast("string").alias("memory_id"), "seq", F.lit(0).alias("side"))
-    w = Window.partitionBy("session_key").orderBy("created_at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(e).withColumn("latest_seq", F.max("seq").over(w)).where("side = 1").select("memory_id", "latest_seq")
+    """The latest sequence number a session had reached when each episode was written.
+
+    A running maximum over anchors and episodes within each day of a session
+    key, so that a heavy key is no single task, and over the maxima of its days
+    before.
+    """
+    day = F.to_date("created_at")
+    a = t.anchors.where("seq is not null and session_key is not null").select("session_key", day.alias("day"), "created_at", F.lit(None).cast("string").alias("memory_id"), "seq", F.lit(0).alias("side"))
+    e = t.l2_episodes.where("session_key is not null").select("session_key", day.alias("day"), "created_at", "memory_id", F.lit(None).cast("int").alias("seq"), F.lit(1).alias("side"))
+    within = Window.partitionBy("session_key", "day").orderBy("created_at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    days = a.groupBy("session_key", "day").agg(F.max("seq").alias("most")).unionByName(e.select("session_key", "day", F.lit(None).cast("int").alias("most")).distinct())
+    before = Window.partitionBy("session_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.groupBy("session_key", "day").agg(F.max("most").alias("most")).withColumn("earlier", F.max("most").over(before)).drop("most")
+    both = a.unionByName(e).withColumn("today", F.max("seq").over(within)).where("side = 1")
+    return both.join(days, ["session_key", "day"]).select("memory_id", F.greatest("today", "earlier").alias("latest_seq"))
 
 
 @C.query("AGG01", f"select {_STATE} as live_state, count(*) as n, round(avg({_IMP}), 6) as mean_importance, round(avg(case when {_STATE} = 'archived' then 1.0 else 0.0 end), 6) as archive_rate from l2_episodes group by 1")

@@ -124,7 +124,8 @@ def _look(batches: Iterator[pd.DataFrame], common: set[str]) -> Iterator[pd.Data
                     bool(DROPPED.search(bare)),
                     _open(text, last),
                     last.startswith("#") or last in ("-", "*", "+"),
-                    bool(TERMINAL.search(bare)),
+                    # An address tells nothing about its end; lists of links often close a text.
+                    bool(TERMINAL.search(bare)) or k[-1] == "U",
                     k[-1] in ("V1", "P?") or (k[-1][:1] == "h" and k[-1][1:].isdecimal()) or (k[-1][:1] == "D" and k[-1] not in ("D4", "D10") and k[-1][1:].isdecimal()),
                     " ".join(k[-3:]),
                     " ".join(k[-2:]),

@@ -6,7 +6,12 @@ with the pair that repeat it excessively. A collocation (high PMI) that is burst
 in the corpus, or repeated in the document itself, marks the words of a line as
 keyword stuffing; lines of links and of tags are told by their form. A document
 whose mean PMI is that of words thrown together is flagged as word salad.
-Counts are kept in tables of fixed size, summed over all tasks in array blocks.
+
+All counts are exact (words and pairs are told apart by hashes of 64 bits). The
+documents are cut into blocks by a hash of the row. A block sends the counts of
+its pairs and words, as arrays, to buckets of the hash, where they are summed over
+all blocks, and gets back those of its own; what a task holds depends on the size
+of a block, not on the input.
 """
 
 from __future__ import annotations
@@ -16,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lorevault.llm.common import WORD, Ids
-from lorevault.llm.tables import count_tables
 
-PAIR_SLOTS = 1 << 20
-WORD_SLOTS = 1 << 18
+#: Bytes of text in a block, at most about; smaller inputs are cut into some blocks for every core.
+BLOCK_BYTES = 16 << 20
+#: Documents whose words are held at once.
+CHUNK = 500
 #: A pair so often in one document, and with such a share of its pairs, is repeated excessively.
 REPEATS = 3
 REPEAT_SHARE = 0.01
@@ -61,8 +66,6 @@ class Lines:
         a, b = self.word[:-1][self.left], self.word[1:][self.left]
         h = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
         self.pair = h ^ (h >> np.uint64(29))
-        self.slot = (self.pair % np.uint64(PAIR_SLOTS)).astype(np.int64)
-        self.word_slot = (self.word % np.uint64(WORD_SLOTS)).astype(np.int64)
         # How often the pair is in its document.
         self.pair_doc = self.doc[self.left]
         order = np.lexsort((self.pair, self.pair_doc))
@@ -119,46 +122,120 @@ def _merged(lines: list[tuple[list[str], str]]) -> list[tuple[list[str], int]]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Occurrences, documents and repeating documents of pairs; occurrences of words."""
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in ascending order and the sum of each count for them."""
+    order = np.argsort(keys)
+    k = keys[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else order
+    return k[start], *(np.add.reduceat(c[order].astype(np.int64), start) if len(k) else np.zeros(0, np.int64) for c in counts)
+
+
+def _count(key: tuple, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Occurrences, documents and repeating documents of the pairs of a block; occurrences of its words.
+
+    One row for each bucket, also an empty one: so every bucket sees the words of all blocks.
+    """
     ids = Ids()
-    for batch in batches:
-        x = Lines(batch.column(0).to_pylist(), ids, forms=False)
-        yield {
-            "pairs": np.bincount(x.slot, minlength=PAIR_SLOTS),
-            "docs": np.bincount(x.slot[x.first], minlength=PAIR_SLOTS),
-            "bursts": np.bincount(x.slot[x.first[x.often[x.first]]], minlength=PAIR_SLOTS),
-            "words": np.bincount(x.word_slot, minlength=WORD_SLOTS),
-        }
+    pairs, words = [[np.zeros(0, np.uint64)], [], []], [[np.zeros(0, np.uint64)], []]
+    texts = pdf["text"].tolist()
+    for i in range(0, len(texts), CHUNK):
+        x = Lines(texts[i : i + CHUNK], ids, forms=False)
+        for k, v in zip(pairs, (x.pair[x.first], x.times[x.first], x.often[x.first])):
+            k.append(v)
+        for k, v in zip(words, np.unique(x.word, return_counts=True)):
+            k.append(v)
+    pair, *n = map(np.concatenate, pairs)
+    pair = _summed(pair, n[0], np.ones(len(pair), np.int64), n[1])
+    word = _summed(*map(np.concatenate, words))
+    total = int(word[1].sum())
+    out = {"block": key[0], "bucket": np.arange(buckets), "total": total}
+    for names, (k, *n) in ((("pair", "n", "docs", "bursts"), pair), (("word", "word_n"), word)):
+        at = (k % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(1, buckets))
+        for name, v in zip(names, (k, *(c.astype(np.int32) for c in n))):
+            out[name] = [p.tobytes() for p in np.split(v[order], ends)]
+    return pd.DataFrame(out)
+
+
+def _parts(column: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of all rows as one, and where each ends."""
+    parts = [np.frombuffer(b, kind) for b in column]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
 
+def _corpus(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one bucket over all blocks, for each block those of its pairs and words.
 
-def corpus_counts(documents: DataFrame) -> dict[str, np.ndarray]:
-    """Counts over all documents in tables of fixed size (PAIR_SLOTS, WORD_SLOTS)."""
-    sizes = {"pairs": PAIR_SLOTS, "docs": PAIR_SLOTS, "bursts": PAIR_SLOTS, "words": WORD_SLOTS}
-    return count_tables(documents.select("text").where("text is not null"), sizes, _count)
+    Pairs of one document and words that are there once are left out: the
+    document itself shows their counts, and they are not bursty.
+    """
+    pair, ends = _parts(pdf["pair"], np.uint64)
+    known, n, docs, bursts = _summed(pair, *(_parts(pdf[c], np.int32)[0] for c in ("n", "docs", "bursts")))
+    bursty = (bursts >= 3) & (bursts >= 0.25 * docs)
+    word, word_ends = _parts(pdf["word"], np.uint64)
+    known_word, word_n = _summed(word, _parts(pdf["word_n"], np.int32)[0])
+    out = {"block": pdf["block"].to_numpy(), "total": int(pdf["total"].sum())}
+    for names, keys, ends, found, keep, values in (
+        (("pair", "n", "bursty"), pair, ends, known, docs >= 2, (n, bursty)),
+        (("word", "word_n"), word, word_ends, known_word, word_n >= 2, (word_n,)),
+    ):
+        at = np.searchsorted(found, keys)
+        kept = keep[at] if len(keys) else np.zeros(0, bool)
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends[:-1]]
+        at = at[kept]
+        for name, v in zip(names, (found, *values)):
+            out[name] = [p.tobytes() for p in np.split(v[at], ends)]
+    return pd.DataFrame(out)
+
+
+class Counts:
+    """What is known of the pairs and words of a block in the whole corpus."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.total = float(np.log(max(int(rows["total"].iloc[0]), 1)))
+        pair, word = _parts(rows["pair"], np.uint64)[0], _parts(rows["word"], np.uint64)[0]
+        order = np.argsort(pair)
+        self.pair, self.n, self.bursty = pair[order], _parts(rows["n"], np.int64)[0][order], _parts(rows["bursty"], np.bool_)[0][order]
+        order = np.argsort(word)
+        self.word, self.word_n = word[order], _parts(rows["word_n"], np.int64)[0][order]
 
+    @staticmethod
+    def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distinct, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+        return at[back], (known[at] == distinct)[back] if len(known) else np.zeros(len(keys), bool)
 
-def _tables(counts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Log counts of pairs and words, whether a pair is bursty, and the log of all words."""
-    bursty = (counts["bursts"] >= 3) & (counts["bursts"] >= 0.25 * counts["docs"])
-    return np.log(np.maximum(counts["pairs"], 1)).astype(np.float32), np.log(np.maximum(counts["words"], 1)).astype(np.float32), bursty, float(np.log(max(counts["words"].sum(), 1)))
+    def of_pairs(self, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log count of each pair and whether it is bursty."""
+        at, found = self._find(self.pair, pair)
+        n, bursty = times.copy(), np.zeros(len(pair), bool)
+        n[found], bursty[found] = self.n[at[found]], self.bursty[at[found]]
+        return np.log(n), bursty
 
+    def of_words(self, word: np.ndarray) -> np.ndarray:
+        at, found = self._find(self.word, word)
+        n = np.ones(len(word), np.int64)
+        n[found] = self.word_n[at[found]]
+        return np.log(n)
 
-def _judge(batches: Iterator[pd.DataFrame], tables: tuple, least_pmi: float, salad_pmi: float) -> Iterator[pd.DataFrame]:
+
+def _judge(batches: Iterator[pd.DataFrame], counts: Counts, least_pmi: float, salad_pmi: float) -> Iterator[pd.DataFrame]:
     ids = Ids()
-    pairs, words, bursty, total = tables
     for pdf in batches:
         x = Lines(pdf["text"].tolist(), ids)
         n_docs = len(pdf)
         left = x.left
-        pmi = pairs[x.slot] + total - words[x.word_slot[left]] - words[x.word_slot[left + 1]]
-        excess = (pmi >= least_pmi) & (bursty[x.slot] | x.often)
+        pairs, bursty = counts.of_pairs(x.pair, x.times)
+        words = counts.of_words(x.word)
+        pmi = pairs + counts.total - words[left] - words[left + 1]
+        excess = (pmi >= least_pmi) & (bursty | x.often)
         excess &= (x.line[left] == x.line[left + 1]) & ~x.number[left] & ~x.number[left + 1]
         covered = np.zeros(len(x.word), bool)
         covered[left[excess]] = True
         covered[left[excess] + 1] = True
         share = np.bincount(x.line, covered, minlength=len(x.n)) / np.maximum(x.n, 1)
-        burst = excess & bursty[x.slot]
+        burst = excess & bursty
         covered[:] = False
         covered[left[burst]] = True
         covered[left[burst] + 1] = True
@@ -190,9 +267,24 @@ def judged(documents: DataFrame, least_pmi: float = 1.0, salad_pmi: float = 0.5)
     empty and wordless texts are no spam (all shares 0); repeated rows are each
     judged; an empty table gives no rows; other columns are never read.
     """
-    tables = documents.sparkSession.sparkContext.broadcast(_tables(corpus_counts(documents)))
+    d = documents.select("doc_id", "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-size // BLOCK_BYTES), min(4 * cores, -(-size // (1 << 20))), 1)
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    counts = (
+        d.groupBy("block")
+        .applyInPandas(lambda key, pdf: _count(key, pdf, blocks), "block int, bucket int, total long, pair binary, n binary, docs binary, bursts binary, word binary, word_n binary")
+        .groupBy("bucket")
+        .applyInPandas(_corpus, "block int, total long, pair binary, n binary, bursty binary, word binary, word_n binary")
+    )
+
+    def judge(pdf: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = (pdf.iloc[i : i + CHUNK] for i in range(0, len(pdf), CHUNK))
+        return pd.concat(_judge(parts, Counts(rows), least_pmi, salad_pmi), ignore_index=True)
+
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInPandas(
-        lambda b: _judge(b, tables.value, least_pmi, salad_pmi),
+    return d.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(
+        judge,
         f"doc_id {kind}, n_words long, mean_pmi double, keywords_share double, links_share double, tags_share double, salad boolean, spam boolean",
     )

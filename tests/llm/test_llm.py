@@ -402,3 +402,31 @@ def test_keyword_spam(spark):
 
 def test_keyword_spam_empty(spark):
     assert keyword_spam.judged(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keyword_spam_counts_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 200) % 5000) for _ in range(1500)]
+    n_pairs, n_words = Counter(), Counter()
+    for t in texts:
+        w = words(t)
+        n_words.update(w)
+        n_pairs.update(zip(w, w[1:]))
+    total = sum(n_words.values())
+    want = {i: np.mean([np.log(n_pairs[p] * total / (n_words[p[0]] * n_words[p[1]])) for p in zip(words(t), words(t)[1:])]) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.mean_pmi for r in keyword_spam.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_keyword_spam_among_many_others(spark):
+    rng = np.random.default_rng(6)
+    phrases = [f"front{i} back{i}" for i in range(20)]
+    vocabulary = np.array([f"v{i}" for i in range(20000)])
+    # Every phrase: in 12 documents, 3 of which repeat it.
+    docs = [(i, ", ".join(rng.permutation(phrases * 3))) for i in range(3)]
+    docs += [(3 + i, " ".join(f"{p} {' '.join(rng.choice(vocabulary, 6))}" for p in phrases)) for i in range(8)]
+    page = (100, ", ".join(phrases))
+    others = [(1000 + i, " ".join(w)) for i, w in enumerate(rng.choice(vocabulary, (6000, 400)))]
+    for rows in (docs + [page], docs + [page] + others):
+        judged = keyword_spam.judged(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))).where("doc_id = 100").collect()
+        assert [r.spam for r in judged] == [True]

@@ -115,3 +115,27 @@ def reaches_itself(edges: DataFrame, most_hops: int = 6) -> DataFrame:
         found = found.unionByName(front.where("at = head").select("head", "tail"))
         front = front.where("at <> head")
     return found.distinct()
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges (head, tail) that lie on a cycle of any length; loops are cycles.
+
+    The paths double in length, written each round, until none is new. They are
+    pairs of nodes, so edges that can't lie on a cycle, as nothing comes before
+    or after them, leave first. Null ends are left out.
+    """
+    e = stage(edges.select("head", "tail").where("head is not null and tail is not null").distinct(), "cycles")
+    n = e.count()
+    while True:
+        e = stage(e.join(e.select(F.col("tail").alias("head")).distinct(), "head", "left_semi").join(e.select(F.col("head").alias("tail")).distinct(), "tail", "left_semi").select("head", "tail"), "cycles")
+        n, before = e.count(), n
+        if n == before:
+            break
+    paths = e
+    while True:
+        further = paths.join(paths.select(F.col("head").alias("tail"), F.col("tail").alias("end")), "tail").select("head", F.col("end").alias("tail"))
+        paths = stage(paths.unionByName(further).distinct(), "cycles")
+        n, before = paths.count(), n
+        if n == before:
+            break
+    return e.join(paths.select(F.col("tail").alias("head"), F.col("head").alias("tail")), ["head", "tail"], "left_semi")

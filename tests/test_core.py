@@ -2,12 +2,14 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorevault.functions import decay, sequences, text as T, vectors as V
 from lorevault.operators import budget, graph, heavy_keys, knn, lexical
+from lorevault.plans import retrieval
 from lorevault.sources import bundles
 from lorevault.streaming import memory_stream as ms
 
@@ -192,6 +194,35 @@ def test_cycles(spark):
     assert sorted(map(tuple, graph.reaches_itself(e).collect())) == [("a", "b"), ("b", "c"), ("c", "a"), ("e", "e")]
 
 
+def closing(edges):
+    """Brute force: edges from whose tail the head is reached."""
+    out = set()
+    for head, tail in edges:
+        seen, front = {tail}, [tail]
+        while front:
+            at = front.pop()
+            for b in {b for a, b in edges if a == at} - seen:
+                seen.add(b)
+                front.append(b)
+        if head in seen:
+            out.add((head, tail))
+    return out
+
+
+def test_cycles_of_any_length(spark):
+    rng = random.Random(3)
+    ring = [(f"r{i}", f"r{(i + 1) % 11}") for i in range(11)]
+    pairs = ring + [("r0", "x0"), ("x0", "x1"), ("x1", "x2"), ("e", "e")] + [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)]
+    out = [tuple(r) for r in graph.on_cycles(spark.createDataFrame(pairs + ring[:2] + [(None, "r0")], "head string, tail string")).select("head", "tail").collect()]
+    assert set(out) == closing(set(pairs)) and len(out) == len(set(out))
+
+
+def test_cycles_of_all_trade(spark):
+    sf = "/root/testdata/sf0.001"
+    trade = set(duckdb.sql(f"select s_nationkey, c_nationkey from '{sf}/lineitem.parquet' join '{sf}/orders.parquet' on l_orderkey = o_orderkey join '{sf}/customer.parquet' on o_custkey = c_custkey join '{sf}/supplier.parquet' on l_suppkey = s_suppkey").fetchall())
+    assert {tuple(r) for r in retrieval.queries()["GRA11_all"](spark, sf).select("head", "tail").collect()} == closing(trade)
+
+
 # Budgets
 
 

@@ -11,17 +11,18 @@ def prefix(df: DataFrame, cost: str, budget: int, by: list[str], order: list[Col
     return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
-def greedy(df: DataFrame, key: str, cost: str, budget: int, by: list[str], order: list[str], most_rows: int = 2000) -> DataFrame:
+def greedy(df: DataFrame, key: str, cost: str, budget: int, by: list[str], order: list[str]) -> DataFrame:
     """The rows of each group that fit when taken in order and those that don't fit are skipped: by, key, used.
 
-    Rows that alone cost more than the budget can't fit and leave first; of the
-    rest no more than budget / cost rows fit, with a cost of at least 1, and
-    only the first ``most_rows`` of a group are looked at.
+    Rows that alone cost more than the budget, or less than 1, leave first. What
+    is spent only grows, so a row that doesn't fit leaves no room for later ones
+    of the same cost: those taken of one cost are its first ones, budget / cost
+    at most, and only they are looked at.
     """
-    rows = df.where((F.col(cost) <= budget) & (F.col(cost) >= 1))
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most_rows)
-    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nth", F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))).alias("l"))
+    rows = df.where((F.col(cost) <= budget) & (F.col(cost) >= 1)).select(*dict.fromkeys([*by, *order, key]), F.col(cost).cast("long").alias("_cost"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_cost").orderBy(*order))).where(F.col("_nth") * F.col("_cost") <= budget)
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("nth"), F.col(key).alias("k"), F.col("_cost").alias("c")))).alias("l"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<k:string,used:bigint>>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -232,6 +232,20 @@ def test_budgets(spark):
     assert sorted((r.k, r.used) for r in budget.greedy(df, "k", "cost", 100, ["g"], ["o"]).collect()) == [("a", 30), ("c", 90)]
 
 
+def test_greedy_budget_of_a_large_group(spark):
+    rng = random.Random(4)
+    data = [("p", f"p{i}", 60, i) for i in range(2500)] + [("p", "cheap", 5, 2500)]
+    data += [("q", f"q{i}", min(120, 3 + int(rng.expovariate(0.02))), i) for i in range(2500)] + [("q", "q_1", 1, 2501), ("q", "q_2", 1, 2502), ("q", "q_3", 0, 2503)]
+    want, spent = set(), {"p": 0, "q": 0}
+    for g, k, cost, _ in data:
+        if cost >= 1 and spent[g] + cost <= 100:
+            spent[g] += cost
+            want.add((k, spent[g]))
+    df = spark.createDataFrame(rng.sample(data, len(data)), "g string, k string, cost int, o int")
+    assert ("cheap", 65) in want
+    assert {(r.k, r.used) for r in budget.greedy(df, "k", "cost", 100, ["g"], ["o"]).collect()} == want
+
+
 # Sources
 
 

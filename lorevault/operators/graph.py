@@ -139,3 +139,24 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         if n == before:
             break
     return e.join(paths.select(F.col("tail").alias("head"), F.col("head").alias("tail")), ["head", "tail"], "left_semi")
+
+
+def chain_ends(steps: DataFrame, a: str, b: str) -> DataFrame:
+    """The end of the chain that starts at each ``a``, and its length: a, final_id, hops.
+
+    The steps (a to b) double in length, written each round, until none goes on.
+    A chain that runs into a cycle has no end: final_id and hops are null. Null
+    ends are left out.
+    """
+    rows = steps.select(F.col(a), F.col(b).alias("final_id"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("moved"))
+    chain = stage(rows.where(f"{a} is not null and final_id is not null"), "chains")
+    most, covered = chain.count(), 1
+    while True:
+        following = chain.select(F.col(a).alias("final_id"), F.col("final_id").alias("next"), F.col("hops").alias("more"))
+        chain = chain.join(following, "final_id", "left").select(a, F.coalesce("next", "final_id").alias("final_id"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved"))
+        chain = stage(chain, "chains")
+        # More steps than there are: what still moves goes round.
+        if covered >= most or chain.where("moved").isEmpty():
+            break
+        covered *= 2
+    return chain.select(a, F.when(~F.col("moved"), F.col("final_id")).alias("final_id"), F.when(~F.col("moved"), F.col("hops")).cast("int").alias("hops"))

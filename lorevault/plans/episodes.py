@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lorevault.functions import decay
+from lorevault.operators import graph
 from lorevault.plans.catalog import Catalog, Tables
 
 C = Catalog()
@@ -401,13 +402,11 @@ def wrt02(t: Tables) -> DataFrame:
 select memory_id, arg_max(target, depth) as final_id, max(depth) as hops from c group by 1""",
 )
 def wrt04(t: Tables) -> DataFrame:
-    """The last episode of each chain of replacements, followed for at most 12 steps."""
-    step = t.l2_episodes.where("superseded_by is not null").select("memory_id", "superseded_by")
-    chain = step.select("memory_id", F.col("superseded_by").alias("final_id"), F.lit(1).alias("hops"))
-    following = step.select(F.col("memory_id").alias("final_id"), F.col("superseded_by").alias("next"))
-    for _ in range(11):
-        chain = chain.join(following, "final_id", "left").select("memory_id", F.coalesce("next", "final_id").alias("final_id"), (F.col("hops") + F.col("next").isNotNull().cast("int")).alias("hops"))
-    return chain
+    """The last episode of each chain of replacements of any length; null where it is a cycle.
+
+    The SQL follows 12 steps.
+    """
+    return graph.chain_ends(t.l2_episodes, "memory_id", "superseded_by")
 
 
 @C.query("ID01", "select memory_id, 'ep_' || left(sha256(coalesce(project_id, '') || '|' || coalesce(summary, '')), 16) as stable_id from l2_episodes")

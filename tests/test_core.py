@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorevault.functions import decay, sequences, text as T, vectors as V
 from lorevault.operators import budget, graph, heavy_keys, knn, lexical
-from lorevault.plans import retrieval
+from lorevault.plans import episodes, retrieval
 from lorevault.sources import bundles
 from lorevault.streaming import memory_stream as ms
 
@@ -223,6 +223,18 @@ def test_cycles_of_all_trade(spark):
     assert {tuple(r) for r in retrieval.queries()["GRA11_all"](spark, sf).select("head", "tail").collect()} == closing(trade)
 
 
+def test_chains_of_any_length(spark, tmp_path):
+    names = [f"c{i}" for i in range(31)]
+    data = list(zip(names, names[1:])) + [("b", "c4"), ("x", "gone"), ("y", "z0"), ("z0", "z1"), ("z1", "z2"), ("z2", "z0"), ("self", "self"), ("c30", None)]
+    spark.createDataFrame(data, "memory_id string, superseded_by string").write.parquet(f"{tmp_path}/l2_episodes.parquet")
+    want = {n: ("c30", 30 - i) for i, n in enumerate(names[:30])} | {"b": ("c30", 27), "x": ("gone", 1)} | dict.fromkeys(["y", "z0", "z1", "z2", "self"], (None, None))
+    assert {r.memory_id: (r.final_id, r.hops) for r in episodes.queries()["WRT04"](spark, str(tmp_path)).collect()} == want
+
+
+def test_chains_empty(spark):
+    assert graph.chain_ends(spark.createDataFrame([], "a string, b string"), "a", "b").collect() == []
+
+
 # Budgets
 
 

@@ -91,7 +91,7 @@ def _folded(s: pd.Series) -> pd.Series:
 
 @C.query("STR01", "select ord, lower(nfc_normalize(summary)) as folded from l2_episodes where not regexp_matches(summary, '[^\\x{0}-\\x{7f}]')")
 def str01(t: Tables) -> DataFrame:
-    """Compatibility form in lower case; only texts with other than ASCII characters go through Python."""
+    """Compatibility form in lower case, of summaries in ASCII only; STR01_all has all rows."""
     e = t.l2_episodes.select("ord", "summary")
     return e.where(~F.col("summary").rlike(r"[^\x00-\x7f]")).select("ord", F.lower("summary").alias("folded"))
 
@@ -101,6 +101,13 @@ def str01_unicode(t: Tables) -> DataFrame:
     return t.l2_episodes.select("ord", "summary").where(F.col("summary").rlike(r"[^\x00-\x7f]")).select("ord", F.pandas_udf(_folded, "string")("summary").alias("folded"))
 
 
+@C.query("STR01_all")
+def str01_all(t: Tables) -> DataFrame:
+    """Compatibility form in lower case of every summary, null of null; only texts with other than ASCII characters go through Python."""
+    null = t.l2_episodes.where("summary is null").select("ord", F.col("summary").alias("folded"))
+    return str01(t).unionByName(str01_unicode(t)).unionByName(null)
+
+
 @C.query("STR03", r"select ord, r as run, array_to_string(list_transform(range(1, length(r)), lambda i: substring(r, i, 2)), '|') as pairs from (select ord, unnest(regexp_extract_all(summary, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]+')) as r from l2_episodes) where length(r) > 1")
 def str03(t: Tables) -> DataFrame:
     e = t.l2_episodes.select("ord", F.explode(F.filter(T.runs(F.col("summary")), lambda r: r.rlike(f"^[{T.HAN}]"))).alias("run")).where("length(run) > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorevault.functions import decay, sequences, text as T, vectors as V
 from lorevault.operators import budget, graph, heavy_keys, knn, lexical
-from lorevault.plans import episodes, retrieval
+from lorevault.plans import episodes, memory, retrieval
 from lorevault.sources import bundles
 from lorevault.streaming import memory_stream as ms
 
@@ -235,6 +235,13 @@ def test_chains_empty(spark):
     assert graph.chain_ends(spark.createDataFrame([], "a string, b string"), "a", "b").collect() == []
 
 
+def test_folded_summaries_of_all_rows(spark, tmp_path):
+    data = [(1, "Plain ASCII"), (2, "\uff26\uff35\uff2c\uff2c Width \ufb01ne"), (3, None), (4, ""), (5, "Caf\u00c9\nline"), (5, "Caf\u00c9\nline")]
+    spark.createDataFrame(data, "ord long, summary string").write.parquet(f"{tmp_path}/l2_episodes.parquet")
+    out = sorted((r.ord, r.folded) for r in memory.queries()["STR01_all"](spark, str(tmp_path)).collect())
+    assert out == [(1, "plain ascii"), (2, "full width fine"), (3, None), (4, ""), (5, "caf\u00e9\nline"), (5, "caf\u00e9\nline")]
+
+
 # Budgets
 
 

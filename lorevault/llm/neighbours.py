@@ -3,39 +3,49 @@
 Vectors are put into cells around centres that are fitted on a bounded sample
 (SAMPLE rows). A vector is compared with all vectors of the cells whose centres
 are most similar to it; how many cells that takes is measured by comparing QUERIES
-of them with all rows, so that the wanted recall holds. Cells lie in groups of similar centres; a
-task holds the vectors of a group and compares the others with them, as they
-stream by, in matrix products, cell by cell.
+of them with all rows, so that the wanted recall holds (a wanted recall of 1
+searches all cells and is exact). Cells lie in groups of similar centres, and the
+vectors that ask in slices. A task holds the vectors of a group and compares one
+slice with them, as it streams by, in matrix products, cell by cell. So a vector is
+sent to every slice of its own group and once to each group that it asks, as
+16-bit numbers (similarities are right to about 0.00002).
+
+There are about CELLS_A_ROOT times as many cells as the square root of the number of
+vectors, at most MOST_CELLS. Up to there the share of the collection that a vector
+is compared with falls as the collection grows; beyond (a million and a half
+vectors) it stays the same.
 
 The dealt method, incremental search in a kd-tree of low-dimensional stable
 projections with a chi-square stopping test, is in ``stopping_share``: it gives
-the share of the collection that this test lets a query verify. On vectors
-without low intrinsic dimension that is a large part of all, see the README.
+the share of the collection that this test lets a query verify, and what it finds.
+On vectors without low intrinsic dimension that is a large part of all, or too
+little is found; see the README.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lorevault.functions.vectors import cosine
 from lorevault.session import stage
 
 #: Rows on which the centres and the number of cells to search are fitted.
-SAMPLE = 32_768
-#: Vectors of one group of cells, which a task holds; a smaller number makes more tasks and copies of the queries.
-GROUP_ROWS = 200_000
-#: Groups there are at least, if each has a few thousand vectors.
-LEAST_GROUPS = 12
-#: Vectors sent together.
-BLOCK = 32
-MOST_CELLS = 2048
-RECALL = 0.92
+SAMPLE = 65_536
+#: Bytes of the vectors of a group of cells, which a task holds.
+GROUP_BYTES = 48 << 20
+#: Tasks there are at least, if each has a few thousand vectors.
+LEAST_TASKS = 12
+#: Vectors sent together, at most.
+BLOCK = 4096
+CELLS_A_ROOT = 6.8
+MOST_CELLS = 8192
+RECALL = 0.93
 #: Queries whose true neighbours among all rows tell how many cells to search.
 QUERIES = 512
 BUFFER = 300_000
@@ -48,39 +58,44 @@ class Index:
     centres: np.ndarray
     group: np.ndarray
     groups: int
+    slices: int
     probes: int
     likely: float
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.centres.T
+    def least(self, s: np.ndarray) -> np.ndarray:
+        """The similarity of each query to the last centre whose cell it searches, from those to all centres."""
         if self.probes >= s.shape[1]:
-            return np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        return np.argpartition(-s, self.probes - 1, axis=1)[:, : self.probes]
+            return np.full(len(s), -2, np.float32)
+        return np.partition(s, s.shape[1] - self.probes, axis=1)[:, s.shape[1] - self.probes]
 
 
 def _centres(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), n, replace=False)].copy()
     for _ in range(rounds):
-        home = (x @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, home, x)
+        home = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
+        order = np.argsort(home, kind="stable")
+        used, first = np.unique(home[order], return_index=True)
+        total = np.add.reduceat(x[order], first)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
+        c[used] = np.where(norm > 0, total / np.maximum(norm, 1e-12), c[used])
     return c
 
 
 def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     """An index for ``total`` vectors from a sample of them, all of length 1."""
     rng = np.random.default_rng(seed)
-    n = max(1, min(MOST_CELLS, len(sample) // 16, 2 ** round(math.log2(max(total, 4) ** 0.5 * 0.6))))
-    c = _centres(sample, n, 12, rng)
-    groups = min(n, max(math.ceil(total / GROUP_ROWS), min(LEAST_GROUPS, math.ceil(total / 5_000))))
+    n = max(1, min(MOST_CELLS, len(sample) // 8, 2 ** round(math.log2(max(total, 4) ** 0.5 * CELLS_A_ROOT))))
+    c = _centres(sample, n, 6, rng)
+    groups = min(n, max(1, math.ceil(total * sample.shape[1] * 4 / GROUP_BYTES)))
+    tasks = min(LEAST_TASKS, math.ceil(total / 5_000))
+    # Few tasks: groups and slices about as many, which needs the fewest copies.
+    groups = min(n, max(groups, round((tasks * 0.75) ** 0.5)))
     # Groups hold about as many vectors each: cells in the order of their likeness to one another are dealt by their share of the sample.
     size = np.bincount((sample @ c.T).argmax(1), minlength=n)
-    order = np.lexsort((np.arange(n), (c @ _centres(c, groups, 12, rng).T).argmax(1)))
+    order = np.lexsort((np.arange(n), (c @ _centres(c, groups, 6, rng).T).argmax(1)))
     group = np.zeros(n, np.int64)
     group[order] = np.minimum((np.cumsum(size[order]) - size[order]) * groups // max(int(size.sum()), 1), groups - 1)
-    return Index(c.astype(np.float32), group, groups, n, -2.0)
+    return Index(c.astype(np.float32), group, groups, max(1, math.ceil(tasks / groups)), n, -2.0)
 
 
 def _rank_of_cells(index: Index, ask: np.ndarray) -> np.ndarray:
@@ -102,16 +117,19 @@ def _true_ranks(batches: Iterator[pa.RecordBatch], index: Index, ask_ids: np.nda
         s[ask_ids[:, None] == ids[None, :]] = -2
         m = min(k, len(ids))
         near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        home = (x @ index.centres.T).argmax(1)
+        used, back = np.unique(near, return_inverse=True)
+        home = (x[used] @ index.centres.T).argmax(1)[back.ravel()]
         q = np.repeat(np.arange(len(ask)), m)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int32()), pa.array(ids[near].ravel()), pa.array(rank[q, home[near].ravel()], pa.int32()), pa.array(np.take_along_axis(s, near, 1).ravel())],
+            [pa.array(q, pa.int32()), pa.array(ids[near].ravel()), pa.array(rank[q, home], pa.int32()), pa.array(np.take_along_axis(s, near, 1).ravel())],
             ["q", "other", "cell_rank", "similarity"],
         )
 
 
 def measured(reps: DataFrame, index: Index, ask_ids: np.ndarray, ask: np.ndarray, k: int, recall: float) -> Index:
     """The index with the number of cells to search at which queries ``ask`` find the wanted share of their true neighbours among all rows."""
+    if recall >= 1:
+        return index
     spark = reps.sparkSession
     known = spark.sparkContext.broadcast((index, ask_ids, ask))
     near = reps.mapInArrow(lambda b: _true_ranks(b, *known.value, k), "q int, other long, cell_rank int, similarity float")
@@ -119,7 +137,7 @@ def measured(reps: DataFrame, index: Index, ask_ids: np.ndarray, ask: np.ndarray
     if not len(best):
         return index
     kth = best.groupby("q")["similarity"].min()
-    return Index(index.centres, index.group, index.groups, int(np.quantile(best["cell_rank"], recall)) + 1, float(kth.quantile(0.02)))
+    return replace(index, probes=int(np.quantile(best["cell_rank"], recall)) + 1, likely=float(kth.quantile(0.02)))
 
 
 def usable(df: DataFrame, row: str, vector: str, dimension: int | None = None) -> DataFrame:
@@ -137,29 +155,42 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-BLOCKS = "part int, side int, ids array<long>, cells array<int>, vectors binary"
+BLOCKS = "part int, side int, ids binary, cells binary, least binary, scale binary, vectors binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """Small blocks of vectors for every group of cells: side 0 the vectors at home in it, side 1 those to be compared with them."""
+    """Blocks of vectors for the tasks: side 0 the vectors at home in a group, for all its slices; side 1 those to be compared with them, for one."""
+    member = np.zeros((len(index.centres), index.groups), bool)
+    member[np.arange(len(member)), index.group] = True
+    starts = [np.flatnonzero(member[:, g]) for g in range(index.groups)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, x = batch.column(0).to_numpy(), _matrix(batch)
-        home = (x @ index.centres.T).argmax(1).astype(np.int32)
+        ids, x, wanted = batch.column(0).to_numpy(), _matrix(batch), batch.column(2).to_numpy(zero_copy_only=False)
+        home, least = np.zeros(len(x), np.int32), np.zeros(len(x), np.float32)
         asked = np.zeros((len(x), index.groups), bool)
-        np.put_along_axis(asked, index.group[index.cells(x)], True, 1)
-        asked &= batch.column(2).to_numpy(zero_copy_only=False)[:, None]
-        out = [(g, side, rows[i : i + BLOCK]) for g in range(index.groups) for side, rows in ((0, np.flatnonzero(index.group[home] == g)), (1, np.flatnonzero(asked[:, g]))) for i in range(0, len(rows), BLOCK)]
+        for i in range(0, len(x), BLOCK):
+            s, rows = x[i : i + BLOCK] @ index.centres.T, slice(i, i + BLOCK)
+            home[rows], least[rows] = s.argmax(1), index.least(s)
+            for g, own in enumerate(starts):
+                asked[rows, g] = (s[:, own] >= least[rows, None]).any(1) if len(own) else False
+        asked &= wanted[:, None]
+        scale = np.abs(x).max(1) / 32767
+        short = np.rint(x / scale[:, None]).astype(np.int16)
+        slice_of = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.slices
+        out = []
+        for g in range(index.groups):
+            own = np.flatnonzero(index.group[home] == g)
+            for t in range(index.slices):
+                for side, rows in ((0, own), (1, np.flatnonzero(asked[:, g] & (slice_of == t)))):
+                    out += [(g * index.slices + t, side, rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([g for g, _, _ in out], pa.int32()),
+                pa.array([part for part, _, _ in out], pa.int32()),
                 pa.array([side for _, side, _ in out], pa.int32()),
-                pa.array([ids[i] for _, _, i in out], pa.list_(pa.int64())),
-                pa.array([home[i] for _, _, i in out], pa.list_(pa.int32())),
-                pa.array([x[i].tobytes() for _, _, i in out], pa.binary()),
+                *(pa.array([column[i].tobytes() for _, _, i in out], pa.binary()) for column in (ids.astype(np.int64), home, least, scale.astype(np.float32), short)),
             ],
-            ["part", "side", "ids", "cells", "vectors"],
+            ["part", "side", "ids", "cells", "least", "scale", "vectors"],
         )
 
 
@@ -192,63 +223,93 @@ class _Best:
         return self.held[0]
 
 
+def _block(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """ids, cells, least similarity of a centre, and vectors of one row."""
+    ids, cells, least, scale = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int32), (4, np.float32), (5, np.float32)))
+    x = np.frombuffer(batch.column(6)[i].as_buffer(), np.int16).reshape(len(ids), -1).astype(np.float32) * scale[:, None]
+    return ids, cells, least, x
+
+
 def _compare(batches: Iterator[pa.RecordBatch], index: Index, k: int, likely: float) -> Iterator[pa.RecordBatch]:
     """For every vector asked in this group its k most similar ones there, of more than the likely similarity.
 
     The group's own vectors come first and are held; those to compare stream by.
     """
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cells: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    cells: list[tuple[np.ndarray, np.ndarray]] = []
+    centres = np.zeros((0, index.centres.shape[1]), np.float32)
     for batch in batches:
-        if not batch.num_rows:
+        for i, side in enumerate(batch.column(1).to_pylist()):
+            ids, home, least, x = _block(batch, i)
+            if side == 0:
+                held.append((ids, home, x))
+                continue
+            if held:
+                there, cell, y = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                order = np.argsort(cell, kind="stable")
+                found, first = np.unique(cell[order], return_index=True)
+                centres = index.centres[found]
+                cells = [(there[rows], np.ascontiguousarray(y[rows].T)) for rows in np.split(order, first[1:])]
+                del there, cell, y
+            if cells:
+                yield _lists(ids, x, least, centres, cells, k, likely)
+
+
+def _lists(ids: np.ndarray, x: np.ndarray, least: np.ndarray, centres: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], k: int, likely: float) -> pa.RecordBatch:
+    c, rows_of = np.nonzero(centres @ x.T >= least - 1e-4)
+    ends = np.searchsorted(c, np.arange(1, len(cells)))
+    best = _Best(len(x), k, likely)
+    for (other, y), rows in zip(cells, np.split(rows_of, ends)):
+        if not len(rows):
             continue
-        lists = batch.column(2)
-        side = np.repeat(batch.column(1).to_numpy(), np.diff(lists.offsets.to_numpy()))
-        ids, home = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-        x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(len(ids), -1)
-        own, asks = side == 0, side == 1
-        if own.any():
-            held.append((ids[own], home[own], x[own]))
-        if not asks.any():
+        s = x[rows] @ y
+        new = best.least[rows] < -1
+        if s.shape[1] > k and new.any():
+            # k others at least are as similar as the k + 1 best of a cell, the row itself among them or not.
+            best.least[rows[new]] = np.partition(s[new], s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - 1e-6
+        at = np.flatnonzero((s > best.least[rows][:, None]).ravel())
+        i, j = at // s.shape[1], at % s.shape[1]
+        apart = ids[rows[i]] != other[j]
+        i, j = i[apart], j[apart]
+        best.add(rows[i], other[j], s[i, j])
+    q, o, s = best.shrink()
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(o), pa.array(s)], ["id", "other", "similarity"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of every id, from rows that come ordered by id."""
+    kept: list[np.ndarray] = []
+
+    def best(rows: list[np.ndarray]) -> pa.RecordBatch:
+        i, o, s = rows
+        order = np.lexsort((o, -s, i))
+        i, o, s = i[order], o[order], s[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, "left") + 1
+        keep = rank <= k
+        return pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(o[keep]), pa.array(rank[keep].astype(np.int32)), pa.array(s[keep])], ["id", "other", "rank", "similarity"])
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        if held:
-            there, cell, y = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            order = np.argsort(cell, kind="stable")
-            found, first = np.unique(cell[order], return_index=True)
-            for c, rows in zip(found.tolist(), np.split(order, first[1:])):
-                cells[c] = there[rows], np.ascontiguousarray(y[rows].T)
-            del there, cell, y
-        yield from _lists(ids[asks], x[asks], cells, index, k, likely)
-
-
-def _lists(ids: np.ndarray, x: np.ndarray, cells: dict[int, tuple[np.ndarray, np.ndarray]], index: Index, k: int, likely: float) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(x), 16_384):
-        own, part = ids[a : a + 16_384], x[a : a + 16_384]
-        asked = index.cells(part)
-        order = np.argsort(asked.ravel(), kind="stable")
-        found, first = np.unique(asked.ravel()[order], return_index=True)
-        best = _Best(len(part), k, likely)
-        for c, places in zip(found.tolist(), np.split(order, first[1:])):
-            if c not in cells:
-                continue
-            other, y = cells[c]
-            rows = places // asked.shape[1]
-            for r in np.array_split(rows, -(-len(rows) // 1024)):
-                s = part[r] @ y
-                at = np.flatnonzero((s > best.least[r][:, None]).ravel())
-                i, j = at // s.shape[1], at % s.shape[1]
-                apart = own[r[i]] != other[j]
-                i, j = i[apart], j[apart]
-                best.add(r[i], other[j], s[i, j])
-        q, o, s = best.shrink()
-        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(o), pa.array(s)], ["id", "other", "similarity"])
+        rows = [batch.column(c).to_numpy() for c in range(3)]
+        if kept:
+            rows = [np.concatenate(x) for x in zip(kept, rows)]
+        # The last id may go on in the next batch.
+        end = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        kept = [x[end:] for x in rows]
+        if end:
+            yield best([x[:end] for x in rows])
+    if kept:
+        yield best(kept)
+
 
+LISTS = "id long, other long, rank int, similarity float"
 
-def _merge(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["id", "similarity", "other"], ascending=[True, False, True], kind="stable")
-    pdf["rank"] = (pdf.groupby("id").cumcount() + 1).astype("int32")
-    return pdf[pdf["rank"] <= k][["id", "other", "rank", "similarity"]]
+
+def _best_of(found: DataFrame, buckets: int, k: int) -> DataFrame:
+    spread = found.select("id", "other", "similarity").repartition(buckets, "id").sortWithinPartitions("id")
+    return spread.mapInArrow(lambda b: _merge(b, k), LISTS)
 
 
 def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -270,7 +331,7 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
     share = SAMPLE / max(total, 1)
     sample = reps.where(F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1_000_000)) < int(min(share, 1) * 1_000_000)).toArrow()
     if not sample.num_rows:
-        return spark.createDataFrame([], "id long, other long, rank int, similarity float")
+        return spark.createDataFrame([], LISTS)
     taken = sample.combine_chunks().to_batches()[0]
     x, ids = _matrix(taken), taken.column(0).to_numpy()
     ask = np.random.default_rng(4).choice(len(x), min(len(x), QUERIES), replace=False)
@@ -279,19 +340,18 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
 
     def lists(asked: DataFrame, likely: float) -> DataFrame:
         blocks = asked.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
-        spread = blocks.repartitionById(index.value.groups, "part").sortWithinPartitions("side")
-        found = spread.mapInArrow(lambda b: _compare(b, index.value, k, likely), "id long, other long, similarity float")
-        return found.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
+        spread = blocks.repartitionById(index.value.groups * index.value.slices, "part").sortWithinPartitions("side")
+        return _best_of(spread.mapInArrow(lambda b: _compare(b, index.value, k, likely), "id long, other long, similarity float"), buckets, k)
 
     # The likely similarity is a shortcut: who has fewer than k neighbours above it is compared again without it.
     first = stage(lists(reps.withColumn("asks", F.lit(True)), index.value.likely), "near-lists")
     enough = stage(first.where(F.col("rank") == k).select("id"), "near-enough")
     short = reps.join(enough.withColumn("asks", F.lit(False)), "id", "left").select("id", "v", F.coalesce("asks", F.lit(True)).alias("asks"))
-    merged = first.join(enough, "id", "left_semi").unionByName(lists(short, -2.0))
-    return _with_copies(merged, copies, k)
+    rest = stage(lists(short, -2.0), "near-rest")
+    return _with_copies(first.join(enough, "id", "left_semi").unionByName(rest), copies, k, buckets)
 
 
-def _with_copies(lists: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+def _with_copies(lists: DataFrame, copies: DataFrame, k: int, buckets: int) -> DataFrame:
     """Lists of representatives turned into lists of all rows, with at most the k + 1 first copies of each vector."""
     # First within salted parts of a class, so that a class of any size is no single task.
     part = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(1024))).orderBy("id")
@@ -304,30 +364,43 @@ def _with_copies(lists: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     # Lists of rows without copies, and of representatives, stay; the other copies take their representative's.
     taken = others.join(owners, "id").select(F.col("copy").alias("id"), "other", "similarity")
     every = others.unionByName(taken).unionByName(own)
-    return every.groupBy(F.pmod(F.xxhash64("id"), F.lit(256))).applyInPandas(lambda pdf: _merge(pdf, k), "id long, other long, rank int, similarity float")
+    return _best_of(every, buckets, k)
+
 
+def mutual(lists: DataFrame, least: float, vectors: DataFrame, row: str = "rowid", vector: str = "embedding") -> DataFrame:
+    """Pairs of at least this cosine similarity where each is in the other's list: id_a < id_b.
 
-def mutual(lists: DataFrame, least: float) -> DataFrame:
-    """Pairs of at least this similarity where each is in the other's list: id_a < id_b, similarity."""
-    close = lists.where(F.col("similarity") >= least - 1e-6)
+    Similarities of the lists within 0.0001 of ``least`` are computed again from the vectors.
+    """
+    near = 1e-4
+    close = lists.where(F.col("similarity") >= least - near)
     a = close.where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "similarity")
     b = close.where("id > other").select(F.col("other").alias("id_a"), F.col("id").alias("id_b"))
-    return a.join(b, ["id_a", "id_b"])
+    pairs = stage(a.join(b, ["id_a", "id_b"]), "near-mutual")
+    unsure = pairs.where(F.col("similarity") < least + near).select("id_a", "id_b")
+    v = vectors.select(F.col(row).cast("long").alias("id"), F.col(vector).alias("v"))
+    both = unsure.join(v.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(v.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
+    sure = both.where(F.round(cosine(F.col("va"), F.col("vb")), 9) >= least).select("id_a", "id_b")
+    return pairs.where(F.col("similarity") >= least + near).select("id_a", "id_b").unionByName(sure)
 
 
-def stopping_share(x: np.ndarray, k: int = 10, dimensions: int = 8, probability: float = 0.9, queries: int = 200, seed: int = 5) -> float:
-    """Share of the collection that the projected search verifies before its chi-square test lets it stop.
+def stopping_share(x: np.ndarray, k: int = 10, dimensions: int = 8, probability: float = 0.9, ratio: float = 1.0, queries: int = 200, seed: int = 5) -> tuple[float, float]:
+    """Share of the collection that the projected search verifies before its chi-square test lets it stop, and the share of true neighbours it finds.
 
     With Gaussian projections the projected distance of a pair, squared and
     divided by its true one, is chi-square with ``dimensions`` degrees of
-    freedom; a search may stop where all nearer than the k-th best so far would
-    have been met with the given probability.
+    freedom; a search may stop where all nearer than the k-th best so far,
+    divided by ``ratio``, would have been met with the given probability.
     """
     rng = np.random.default_rng(seed)
     p = x @ rng.standard_normal((x.shape[1], dimensions)).astype(np.float32)
-    bound = float(np.quantile(rng.chisquare(dimensions, 200_000), probability))
-    shares = []
+    bound = float(np.quantile(rng.chisquare(dimensions, 200_000), probability)) / ratio**2
+    shares, found = [], []
     for q in rng.choice(len(x), min(queries, len(x)), replace=False):
-        true = np.sort(((x - x[q]) ** 2).sum(1))[min(k, len(x) - 1)]
-        shares.append(float((((p - p[q]) ** 2).sum(1) <= bound * true).mean()))
-    return float(np.mean(shares))
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        true = np.argsort(d)[: min(k, len(x) - 1)]
+        seen = ((p - p[q]) ** 2).sum(1) <= bound * d[true[-1]]
+        shares.append(float(seen.mean()))
+        found.append(float(seen[true].mean()))
+    return float(np.mean(shares)), float(np.mean(found))

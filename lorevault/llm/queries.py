@@ -62,8 +62,8 @@ def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours.nearest(table(spark, sf, "vectors"), k=5)
-    return neighbours.mutual(near, least=0.9).select(F.col("id_a").alias("rowid_a"), F.col("id_b").alias("rowid_b"))
+    v = table(spark, sf, "vectors")
+    return neighbours.mutual(neighbours.nearest(v, k=5), 0.9, v).select(F.col("id_a").alias("rowid_a"), F.col("id_b").alias("rowid_b"))
 
 
 def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,7 +42,7 @@ GROUP_BYTES = 48 << 20
 #: Tasks there are at least, if each has a few thousand vectors.
 LEAST_TASKS = 12
 #: Vectors sent together, at most.
-BLOCK = 4096
+BLOCK = 2048
 CELLS_A_ROOT = 6.8
 MOST_CELLS = 8192
 RECALL = 0.93
@@ -69,10 +69,15 @@ class Index:
         return np.partition(s, s.shape[1] - self.probes, axis=1)[:, s.shape[1] - self.probes]
 
 
+def _homes(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The most similar centre of every vector."""
+    return np.concatenate([(x[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(x), 2048)])
+
+
 def _centres(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), n, replace=False)].copy()
     for _ in range(rounds):
-        home = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
+        home = _homes(x, c)
         order = np.argsort(home, kind="stable")
         used, first = np.unique(home[order], return_index=True)
         total = np.add.reduceat(x[order], first)
@@ -91,8 +96,8 @@ def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     # Few tasks: groups and slices about as many, which needs the fewest copies.
     groups = min(n, max(groups, round((tasks * 0.75) ** 0.5)))
     # Groups hold about as many vectors each: cells in the order of their likeness to one another are dealt by their share of the sample.
-    size = np.bincount((sample @ c.T).argmax(1), minlength=n)
-    order = np.lexsort((np.arange(n), (c @ _centres(c, groups, 6, rng).T).argmax(1)))
+    size = np.bincount(_homes(sample, c), minlength=n)
+    order = np.lexsort((np.arange(n), _homes(c, _centres(c, groups, 6, rng))))
     group = np.zeros(n, np.int64)
     group[order] = np.minimum((np.cumsum(size[order]) - size[order]) * groups // max(int(size.sum()), 1), groups - 1)
     return Index(c.astype(np.float32), group, groups, max(1, math.ceil(tasks / groups)), n, -2.0)
@@ -118,7 +123,7 @@ def _true_ranks(batches: Iterator[pa.RecordBatch], index: Index, ask_ids: np.nda
         m = min(k, len(ids))
         near = np.argpartition(-s, m - 1, axis=1)[:, :m]
         used, back = np.unique(near, return_inverse=True)
-        home = (x[used] @ index.centres.T).argmax(1)[back.ravel()]
+        home = _homes(x[used], index.centres)[back.ravel()]
         q = np.repeat(np.arange(len(ask)), m)
         yield pa.RecordBatch.from_arrays(
             [pa.array(q, pa.int32()), pa.array(ids[near].ravel()), pa.array(rank[q, home], pa.int32()), pa.array(np.take_along_axis(s, near, 1).ravel())],

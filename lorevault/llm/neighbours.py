@@ -43,6 +43,8 @@ GROUP_BYTES = 48 << 20
 LEAST_TASKS = 12
 #: Vectors sent together, at most.
 BLOCK = 2048
+#: Vectors compared at once with a group.
+CHUNK = 16_384
 CELLS_A_ROOT = 6.8
 MOST_CELLS = 8192
 RECALL = 0.93
@@ -133,14 +135,12 @@ def _true_ranks(batches: Iterator[pa.RecordBatch], index: Index, ask_ids: np.nda
 
 def measured(reps: DataFrame, index: Index, ask_ids: np.ndarray, ask: np.ndarray, k: int, recall: float) -> Index:
     """The index with the number of cells to search at which queries ``ask`` find the wanted share of their true neighbours among all rows."""
-    if recall >= 1:
+    if recall >= 1 or not len(ask):
         return index
     spark = reps.sparkSession
     known = spark.sparkContext.broadcast((index, ask_ids, ask))
     near = reps.mapInArrow(lambda b: _true_ranks(b, *known.value, k), "q int, other long, cell_rank int, similarity float")
     best = near.groupBy("q").applyInPandas(lambda p: p.nlargest(k, "similarity"), near.schema).toPandas()
-    if not len(best):
-        return index
     kth = best.groupby("q")["similarity"].min()
     return replace(index, probes=int(np.quantile(best["cell_rank"], recall)) + 1, likely=float(kth.quantile(0.02)))
 
@@ -160,28 +160,43 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+PLACED = "id long, home int, least float, scale float, v binary, asked binary"
+
+
+def _fixed(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of one length as rows of a matrix."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
+def _place(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """The home cell of each vector, the similarity of the last centre whose cell it searches, the groups it asks, and itself as 16-bit numbers."""
+    own = [np.flatnonzero(index.group == g) for g in range(index.groups)]
+    for batch in batches:
+        x = _matrix(batch) if batch.num_rows else None
+        for i in range(0, batch.num_rows, BLOCK):
+            part = x[i : i + BLOCK]
+            s = part @ index.centres.T
+            least = index.least(s)
+            asked = np.stack([(s[:, c] >= least[:, None]).any(1) if len(c) else np.zeros(len(s), bool) for c in own], 1)
+            scale = np.abs(part).max(1) / 32767
+            short = np.rint(part / scale[:, None]).astype(np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, BLOCK), pa.array(s.argmax(1).astype(np.int32)), pa.array(least), pa.array(scale), pa.array([r.tobytes() for r in short], pa.binary()), pa.array([r.tobytes() for r in asked], pa.binary())],
+                ["id", "home", "least", "scale", "v", "asked"],
+            )
+
+
 BLOCKS = "part int, side int, ids binary, cells binary, least binary, scale binary, vectors binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     """Blocks of vectors for the tasks: side 0 the vectors at home in a group, for all its slices; side 1 those to be compared with them, for one."""
-    member = np.zeros((len(index.centres), index.groups), bool)
-    member[np.arange(len(member)), index.group] = True
-    starts = [np.flatnonzero(member[:, g]) for g in range(index.groups)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, x, wanted = batch.column(0).to_numpy(), _matrix(batch), batch.column(2).to_numpy(zero_copy_only=False)
-        home, least = np.zeros(len(x), np.int32), np.zeros(len(x), np.float32)
-        asked = np.zeros((len(x), index.groups), bool)
-        for i in range(0, len(x), BLOCK):
-            s, rows = x[i : i + BLOCK] @ index.centres.T, slice(i, i + BLOCK)
-            home[rows], least[rows] = s.argmax(1), index.least(s)
-            for g, own in enumerate(starts):
-                asked[rows, g] = (s[:, own] >= least[rows, None]).any(1) if len(own) else False
-        asked &= wanted[:, None]
-        scale = np.abs(x).max(1) / 32767
-        short = np.rint(x / scale[:, None]).astype(np.int16)
+        ids, home, least, scale = (batch.column(c).to_numpy() for c in range(4))
+        short, asked = _fixed(batch.column(4), np.int16), _fixed(batch.column(5), np.bool_) & batch.column(6).to_numpy(zero_copy_only=False)[:, None]
         slice_of = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.slices
         out = []
         for g in range(index.groups):
@@ -193,7 +208,7 @@ def _send(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             [
                 pa.array([part for part, _, _ in out], pa.int32()),
                 pa.array([side for _, side, _ in out], pa.int32()),
-                *(pa.array([column[i].tobytes() for _, _, i in out], pa.binary()) for column in (ids.astype(np.int64), home, least, scale.astype(np.float32), short)),
+                *(pa.array([column[i].tobytes() for _, _, i in out], pa.binary()) for column in (ids, home, least, scale, short)),
             ],
             ["part", "side", "ids", "cells", "least", "scale", "vectors"],
         )
@@ -238,34 +253,50 @@ def _block(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
 def _compare(batches: Iterator[pa.RecordBatch], index: Index, k: int, likely: float) -> Iterator[pa.RecordBatch]:
     """For every vector asked in this group its k most similar ones there, of more than the likely similarity.
 
-    The group's own vectors come first and are held; those to compare stream by.
+    The group's own vectors come first and are held; those to compare stream by, CHUNK at a time.
     """
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cells: list[tuple[np.ndarray, np.ndarray]] = []
-    centres = np.zeros((0, index.centres.shape[1]), np.float32)
+    held: list[tuple] = []
+    asking: list[tuple] = []
+    group: _Group | None = None
+
+    def lists() -> Iterator[pa.RecordBatch]:
+        ids, _, least, x = (np.concatenate(c) for c in zip(*asking))
+        asking.clear()
+        if group:
+            yield _lists(ids, x, least, group, k, likely)
+
     for batch in batches:
         for i, side in enumerate(batch.column(1).to_pylist()):
-            ids, home, least, x = _block(batch, i)
             if side == 0:
-                held.append((ids, home, x))
+                held.append(_block(batch, i))
                 continue
             if held:
-                there, cell, y = (np.concatenate(c) for c in zip(*held))
+                ids, cell, _, x = (np.concatenate(c) for c in zip(*held))
                 held.clear()
-                order = np.argsort(cell, kind="stable")
-                found, first = np.unique(cell[order], return_index=True)
-                centres = index.centres[found]
-                cells = [(there[rows], np.ascontiguousarray(y[rows].T)) for rows in np.split(order, first[1:])]
-                del there, cell, y
-            if cells:
-                yield _lists(ids, x, least, centres, cells, k, likely)
-
-
-def _lists(ids: np.ndarray, x: np.ndarray, least: np.ndarray, centres: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], k: int, likely: float) -> pa.RecordBatch:
-    c, rows_of = np.nonzero(centres @ x.T >= least - 1e-4)
-    ends = np.searchsorted(c, np.arange(1, len(cells)))
+                group = _Group(ids, cell, x, index.centres)
+                del ids, cell, x
+            asking.append(_block(batch, i))
+            if sum(len(block[0]) for block in asking) >= CHUNK:
+                yield from lists()
+    if asking:
+        yield from lists()
+
+
+class _Group:
+    """The vectors of a group, cell by cell, and the centres of its cells."""
+
+    def __init__(self, ids: np.ndarray, cell: np.ndarray, x: np.ndarray, centres: np.ndarray) -> None:
+        order = np.argsort(cell, kind="stable")
+        found, first = np.unique(cell[order], return_index=True)
+        self.centres = centres[found]
+        self.cells = [(ids[rows], np.ascontiguousarray(x[rows].T)) for rows in np.split(order, first[1:])]
+
+
+def _lists(ids: np.ndarray, x: np.ndarray, least: np.ndarray, group: _Group, k: int, likely: float) -> pa.RecordBatch:
+    c, rows_of = np.nonzero(group.centres @ x.T >= least - 1e-4)
+    ends = np.searchsorted(c, np.arange(1, len(group.cells)))
     best = _Best(len(x), k, likely)
-    for (other, y), rows in zip(cells, np.split(rows_of, ends)):
+    for (other, y), rows in zip(group.cells, np.split(rows_of, ends)):
         if not len(rows):
             continue
         s = x[rows] @ y
@@ -339,21 +370,25 @@ def nearest(df: DataFrame, k: int, row: str = "rowid", vector: str = "embedding"
         return spark.createDataFrame([], LISTS)
     taken = sample.combine_chunks().to_batches()[0]
     x, ids = _matrix(taken), taken.column(0).to_numpy()
-    ask = np.random.default_rng(4).choice(len(x), min(len(x), QUERIES), replace=False)
-    index = spark.sparkContext.broadcast(measured(reps, fit(x, total), ids[ask], x[ask], k, recall))
+    # Queries that the centres were not fitted on, as most vectors are.
+    order = np.random.default_rng(4).permutation(len(x))
+    ask, rest = np.split(order, [min(QUERIES, len(x) // 4)])
+    index = spark.sparkContext.broadcast(measured(reps, fit(x[rest], total), ids[ask], x[ask], k, recall))
     buckets = max(8, math.ceil(total / 50_000))
 
+    placed = stage(reps.mapInArrow(lambda b: _place(b, index.value), PLACED), "near-placed")
+
     def lists(asked: DataFrame, likely: float) -> DataFrame:
         blocks = asked.mapInArrow(lambda b: _send(b, index.value), BLOCKS)
         spread = blocks.repartitionById(index.value.groups * index.value.slices, "part").sortWithinPartitions("side")
         return _best_of(spread.mapInArrow(lambda b: _compare(b, index.value, k, likely), "id long, other long, similarity float"), buckets, k)
 
     # The likely similarity is a shortcut: who has fewer than k neighbours above it is compared again without it.
-    first = stage(lists(reps.withColumn("asks", F.lit(True)), index.value.likely), "near-lists")
+    first = stage(lists(placed.withColumn("asks", F.lit(True)), index.value.likely), "near-lists")
     enough = stage(first.where(F.col("rank") == k).select("id"), "near-enough")
-    short = reps.join(enough.withColumn("asks", F.lit(False)), "id", "left").select("id", "v", F.coalesce("asks", F.lit(True)).alias("asks"))
-    rest = stage(lists(short, -2.0), "near-rest")
-    return _with_copies(first.join(enough, "id", "left_semi").unionByName(rest), copies, k, buckets)
+    short = placed.join(enough.withColumn("asks", F.lit(False)), "id", "left").select(*placed.columns, F.coalesce("asks", F.lit(True)).alias("asks"))
+    again = stage(lists(short, -2.0), "near-again")
+    return _with_copies(first.join(enough, "id", "left_semi").unionByName(again), copies, k, buckets)
 
 
 def _with_copies(lists: DataFrame, copies: DataFrame, k: int, buckets: int) -> DataFrame:

@@ -14,8 +14,10 @@ words are confused in about one of ten million pairs).
 
 A signature of frequent words only would meet too many texts; it is extended by
 one word of the rest of the text, once for each of the rarest words there that
-could suffice for a similar text to have one of them (prefix filter). So no
-bucket is capped and no pair is lost.
+could suffice for a similar text to have one of them (prefix filter). Where
+signature and word may still have more than MOST_MET texts in common, these are
+dealt into blocks, and each pair of blocks meets by itself. So no bucket is capped, no
+pair is lost, and what a task holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,17 +35,20 @@ from lorevault.llm.tables import count_tables
 from lorevault.operators.graph import components
 from lorevault.session import stage
 
-#: Size of the table of word counts; it is broadcast (4 bytes an entry) and orders words by rarity.
-SLOT_BITS = 18
-COUNT_SLOTS = 1 << SLOT_BITS
-#: Size of the table of signature counts, broadcast too.
-KEY_SLOTS = 1 << 20
+#: Sizes, in bits, of the tables of word counts and signature counts; they grow with the number of texts within these bounds and
+#: are broadcast (4 bytes an entry). Entries that collide make words and signatures look more frequent, which costs time only.
+WORD_BITS = 18, 24
+KEY_BITS = 20, 26
 #: Only signatures whose words all occur in more texts than this are counted.
 FREQUENT = 256
 #: A signature that more texts have is extended.
 HOT = 1000
+#: Texts that can meet by one signature; more are dealt into blocks.
+MOST_MET = 1 << 15
 #: Signatures that one task joins.
 BUCKET_ROWS = 3_000_000
+#: Candidate pairs sent on together.
+FOUND_PAIRS = 2_000_000
 #: Texts signed together; their numbers fit 16 bits.
 MOST_TEXTS = 1 << 14
 NO_COUNT = np.iinfo(np.int64).max
@@ -124,38 +128,50 @@ class Texts:
             none = np.zeros(len(i), np.uint64)
             yield m, _mix(none, none, i % m, m), own[i // m], i % m, True, np.full(len(i), NO_COUNT)
 
-    def extended(self, m: int, key: np.ndarray, text: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each key with each of the rarest words outside its segment, one more than a similar text may lack."""
+    def extended(self, m: int, key: np.ndarray, text: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each key with each of the rarest words outside its segment, one more than a similar text may lack: keys, their numbers before, counts of the words."""
         lacks = np.fromiter((self.cuts[t][m] for t in text.tolist()), np.int64, len(text))
         at, i = _positions(self.start, self.n, text)
         outside = (_mix(self.word[at], m) % np.uint64(m)).astype(np.int64) != seg[i]
-        i, w = i[outside], self.word[at][outside]
+        i, at = i[outside], at[outside]
         rest = np.bincount(i, minlength=len(key))
         rank = np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
         first = rank <= lacks[i]
-        i, w = i[first], w[first]
+        i, at = i[first], at[first]
         # A text with so few words outside may share none of them.
         few = np.flatnonzero(rest <= lacks)
-        return np.concatenate([_mix(key[i], w), _mix(key[few], 1)]), np.concatenate([text[i], text[few]])
+        return np.concatenate([_mix(key[i], self.word[at]), _mix(key[few], 1)]), np.concatenate([i, few]), np.concatenate([self.count[at], np.full(len(few), NO_COUNT)])
 
 
-def frequent_slots(texts: Texts, frequent: int = FREQUENT) -> np.ndarray:
+def frequent_slots(texts: Texts, slots: int, frequent: int = FREQUENT) -> np.ndarray:
     """Slots of the signatures made of frequent words."""
-    return np.concatenate([_slot(key[c > frequent]) for _, key, _, _, _, c in texts.signed()] or [np.zeros(0, np.int64)])
+    return np.concatenate([_slot(key[c > frequent], slots) for _, key, _, _, _, c in texts.signed()] or [np.zeros(0, np.int64)])
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(20)).astype(np.int64) % KEY_SLOTS
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key >> np.uint64(20)).astype(np.int64) % slots
 
 
-def signatures(texts: Texts, key_counts: np.ndarray, frequent: int = FREQUENT, hot: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, text number and whether it is a plain signature; keys that too many texts have are extended."""
+def _dealt(key: np.ndarray, most: np.ndarray, ids: np.ndarray, met: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that up to ``most`` texts have, once for every pair of blocks with the text's own block: keys, their numbers before."""
+    blocks = np.where(most > met, -(-2 * most // met), 1)
+    i = np.repeat(np.arange(len(key)), blocks)
+    other = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (_mix(ids, 5) % blocks.astype(np.uint64)).astype(np.int64)[i]
+    return np.where(blocks[i] > 1, _mix(key[i], np.minimum(own, other), np.maximum(own, other) + 2), key[i]), i
+
+
+def signatures(texts: Texts, ids: np.ndarray, key_counts: np.ndarray, frequent: int = FREQUENT, hot: int = HOT, met: int = MOST_MET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, text number and whether it is a plain signature; keys that too many texts have are extended, and dealt into blocks if they may still have too many."""
     keys, owners, plains = [], [], []
     for m, key, text, seg, plain, count in texts.signed():
-        many = (count > frequent) & (key_counts[_slot(key)] > hot)
-        k, t = texts.extended(m, key[many], text[many], seg[many])
+        n = key_counts[_slot(key, len(key_counts))].astype(np.int64)
+        many = (count > frequent) & (n > hot)
+        k, i, word_count = texts.extended(m, key[many], text[many], seg[many])
+        t = text[many][i]
+        k, j = _dealt(k, np.minimum(n[many][i], word_count), ids[t], met)
         keys += [key[~many], k]
-        owners += [text[~many], t]
+        owners += [text[~many], t[j]]
         plains.append(np.full(len(key) - int(many.sum()) + len(k), plain))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -173,26 +189,26 @@ def _texts(batch: pa.RecordBatch, counts: np.ndarray, tenths: int) -> tuple[np.n
     ids, lists = batch.column(0).to_numpy(), batch.column(1)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     word = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32)
-    return ids, Texts(offsets[:-1] - offsets[0], np.diff(offsets), word.astype(np.uint64), counts[word % COUNT_SLOTS], tenths)
+    return ids, Texts(offsets[:-1] - offsets[0], np.diff(offsets), word.astype(np.uint64), counts[word % len(counts)], tenths)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _count_words(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         word = batch.column(0).flatten().to_numpy().view(np.uint32)
-        yield {"words": np.bincount(word % COUNT_SLOTS, minlength=COUNT_SLOTS)}
+        yield {"words": np.bincount(word % slots, minlength=slots)}
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, tenths: int) -> Iterator[dict[str, np.ndarray]]:
+def _count_keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, slots: int, tenths: int) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
-            yield {"keys": np.bincount(frequent_slots(_texts(batch, counts, tenths)[1]), minlength=KEY_SLOTS)}
+            yield {"keys": np.bincount(frequent_slots(_texts(batch, counts, tenths)[1], slots), minlength=slots)}
 
 
 def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.ndarray, tenths: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket: its keys, for each key the text it is of, and these texts' ids and sketches."""
     for batch in (b.slice(i, MOST_TEXTS) for b in batches for i in range(0, b.num_rows, MOST_TEXTS)):
         ids, texts = _texts(batch, counts, tenths)
-        key, text, plain = signatures(texts, key_counts)
+        key, text, plain = signatures(texts, ids, key_counts)
         sketch = _sketch(texts.start, texts.n, texts.word)
         bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         low = (key.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | plain
@@ -216,20 +232,40 @@ def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.
         )
 
 
-def _join_bucket(pdf: pd.DataFrame, tenths: int) -> pd.DataFrame:
-    """Pairs of texts that share a key, one of them with its plain signature, and may be similar by their sketches."""
-    sizes = pdf["ids"].map(len).to_numpy()
-    key = np.concatenate(pdf["keys"].to_numpy()).view(np.uint32)
-    text = np.concatenate(pdf["texts"].to_numpy()).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, pdf["keys"].map(len).to_numpy())
-    ids = np.concatenate(pdf["ids"].to_numpy())
+def _join_bucket(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts that share a key, one of them with its plain signature, and may be similar by their sketches; the batches are those of one bucket."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    n = 0
+    for batch in batches:
+        key, text, ids, sketch = (batch.column(c) for c in range(1, 5))
+        sizes = np.diff(ids.offsets.to_numpy())
+        first = n + np.cumsum(sizes) - sizes
+        parts[0].append(key.flatten().to_numpy().view(np.uint32))
+        parts[1].append(text.flatten().to_numpy().astype(np.int64) + np.repeat(first, np.diff(text.offsets.to_numpy())))
+        parts[2].append(ids.flatten().to_numpy())
+        parts[3].append(sketch.flatten().to_numpy().view(np.uint64))
+        n += int(sizes.sum())
+    if not n:
+        return
+    key, text, ids, sketch = map(np.concatenate, parts)
+    parts.clear()
     order = np.argsort(key)
     key, text = key[order], text[order]
-    sketch = np.concatenate(pdf["sketches"].to_numpy()).view(np.uint64)[text]
+    sketch = sketch[text]
     plain, key = (key & np.uint32(1)).astype(bool), key >> np.uint32(1)
     words, parity = (sketch & np.uint64(1023)).astype(np.int16), sketch >> np.uint64(10)
     # Most differing bits by the words of both; a capped number of words says nothing, the sets are compared later.
     most = np.array([max_difference(0, t, tenths) if t < 1023 else SKETCH_BITS for t in range(2047)], np.int16)
-    found, i, step = [], np.arange(len(key)), 1
+    found: list[np.ndarray] = []
+
+    def pairs() -> pa.RecordBatch:
+        code = np.unique(np.concatenate(found))
+        found.clear()
+        x, y = ids[code // len(ids)], ids[code % len(ids)]
+        other = x != y
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[other]), pa.array(np.maximum(x, y)[other])], ["a", "b"])
+
+    i, step = np.arange(len(key)), 1
     while len(i):
         i = i[i + step < len(key)]
         j = i + step
@@ -241,11 +277,11 @@ def _join_bucket(pdf: pd.DataFrame, tenths: int) -> pd.DataFrame:
         if fits.any():
             x, y = text[a[fits]], text[b[fits]]
             found.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+            if sum(map(len, found)) >= FOUND_PAIRS:
+                yield pairs()
         step += 1
-    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    x, y = ids[code // max(len(ids), 1)], ids[code % max(len(ids), 1)]
-    other = x != y
-    return pd.DataFrame({"a": np.minimum(x, y)[other], "b": np.maximum(x, y)[other]})
+    if found:
+        yield pairs()
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
@@ -301,17 +337,24 @@ def similar_classes(df: DataFrame, row: str, text: str, tenths: int = 7, least_w
     return _similar(classes(df, row, text, least_words)[0], tenths)
 
 
+def _table_size(n: int, bits: tuple[int, int]) -> int:
+    return 1 << min(max(math.ceil(math.log2(2 * n + 2)), bits[0]), bits[1])
+
+
 def _similar(sets: DataFrame, tenths: int) -> DataFrame:
     spark = sets.sparkSession
-    counts = spark.sparkContext.broadcast(count_tables(sets.select("words"), {"words": COUNT_SLOTS}, _count_words)["words"])
-    found = count_tables(sets, {"keys": KEY_SLOTS}, lambda b: _count_keys(b, counts.value, tenths))["keys"]
+    n = sets.count()
+    word_slots, key_slots = _table_size(n, WORD_BITS), _table_size(n, KEY_BITS)
+    counts = spark.sparkContext.broadcast(count_tables(sets.select("words"), {"words": word_slots}, lambda b: _count_words(b, word_slots))["words"])
+    found = count_tables(sets, {"keys": key_slots}, lambda b: _count_keys(b, counts.value, key_slots, tenths))["keys"]
     key_counts = spark.sparkContext.broadcast(np.minimum(found, np.iinfo(np.int32).max).astype(np.int32))
-    n_buckets = max(1, math.ceil(sets.count() * 60 / BUCKET_ROWS))
+    n_buckets = max(1, math.ceil(n * 60 / BUCKET_ROWS))
     signed = sets.mapInArrow(
         lambda b: _sign(b, counts.value, key_counts.value, tenths, n_buckets),
         "bucket int, keys array<int>, texts array<short>, ids array<long>, sketches array<long>",
     )
-    pairs = signed.groupBy("bucket").applyInPandas(lambda pdf: _join_bucket(pdf, tenths), "a long, b long").distinct()
+    # Each bucket is a task of its own.
+    pairs = signed.repartitionById(n_buckets, "bucket").mapInArrow(lambda b: _join_bucket(b, tenths), "a long, b long").distinct()
     a, b = sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), sets.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"), (F.size("wa") + F.size("wb")).alias("sum"))
     return both.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("either")).where(F.col("shared") * 10 >= F.col("either") * tenths)

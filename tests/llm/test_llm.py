@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +63,9 @@ def edited(rng, base, vocabulary):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("frequent", "hot"), [(256, 1000), (0, 0), (2, 3)])
-def test_similar_pairs_against_all_pairs(spark, monkeypatch, frequent, hot):
-    """Also where every signature is taken for a frequent one and is extended."""
+@pytest.mark.parametrize(("frequent", "hot", "met"), [(256, 1000, 1 << 15), (0, 0, 1 << 15), (2, 3, 1 << 15), (0, 0, 4), (2, 3, 2)])
+def test_similar_pairs_against_all_pairs(spark, monkeypatch, frequent, hot, met):
+    """Also where every signature is taken for a frequent one and is extended, and where those are dealt into blocks."""
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(60)] + ["the", "of", "and", "记", "忆"]
     texts = []
@@ -73,8 +74,7 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch, frequent, hot):
         texts += [edited(rng, base, vocabulary) for _ in range(rng.randint(1, 6))]
     texts += [texts[0], texts[0].upper(), None, "", "too short", "x " * 5000 + texts[3]]
     data = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])]
-    signatures = near_duplicates.signatures.__wrapped__ if hasattr(near_duplicates.signatures, "__wrapped__") else near_duplicates.signatures
-    keys = near_duplicates.frequent_slots
+    slots = 1 << 20
 
     def found(rows):
         # The same steps as in the tasks, here with other bounds.
@@ -84,11 +84,12 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch, frequent, hot):
         start, word = np.cumsum(n) - n, np.array([w for s in sets for w in s], np.uint64)
         count = np.bincount((word % 4096).astype(int), minlength=4096)[(word % 4096).astype(int)].astype(np.int64)
         t = near_duplicates.Texts(start, n, word, count, 7)
-        counts = np.bincount(keys(t, frequent), minlength=near_duplicates.KEY_SLOTS)
-        key, text, plain_ = signatures(t, counts, frequent, hot)
+        counts = np.bincount(near_duplicates.frequent_slots(t, slots, frequent), minlength=slots)
+        key, text, plain_ = near_duplicates.signatures(t, np.array(ids), counts, frequent, hot, met)
         low = (key.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | plain_
-        pdf = pd.DataFrame({"keys": [low.view(np.int32)], "texts": [text], "ids": [np.array(ids)], "sketches": [near_duplicates._sketch(t.start, t.n, t.word)]})
-        return set(near_duplicates._join_bucket(pdf, 7).itertuples(index=False, name=None))
+        columns = {"bucket": [0], "keys": [low.view(np.int32)], "texts": [text.astype(np.int16)], "ids": [np.array(ids)], "sketches": [near_duplicates._sketch(t.start, t.n, t.word)]}
+        batch = pa.RecordBatch.from_pydict(columns)
+        return {(r["a"], r["b"]) for out in near_duplicates._join_bucket(iter([batch]), 7) for r in out.to_pylist()}
 
     want = similar_brute([(i, t) for i, t in data if t])
     assert want <= found([(i, t) for i, t in data if t])

@@ -54,7 +54,9 @@ MOST_TEXTS = 1 << 14
 NO_COUNT = np.iinfo(np.int64).max
 #: Segment numbers in use; each text is cut for the few of them that its partners' sizes ask for.
 GRID = sorted({math.ceil(1.4**k) for k in range(60)})
-SKETCH_BITS = 54
+#: Bits of a sketch: LOW_BITS beside the number of words in one 64-bit number, the others in a second one.
+LOW_BITS = 54
+SKETCH_BITS = LOW_BITS + 64
 
 
 def max_difference(s: int, t: int, tenths: int) -> int:
@@ -179,10 +181,14 @@ def signatures(texts: Texts, ids: np.ndarray, key_counts: np.ndarray, frequent:
 
 
 def _sketch(start: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Parity of the words at each of SKETCH_BITS hashed bits, with the number of words (at most 1023) below."""
-    bit = np.left_shift(np.uint64(1), _mix(word, 3) % np.uint64(SKETCH_BITS))
-    parity = np.bitwise_xor.reduceat(bit, start) if len(start) else np.zeros(0, np.uint64)
-    return ((parity << np.uint64(10)) | np.minimum(n, 1023).astype(np.uint64)).astype(np.int64)
+    """Parity of the words at each of SKETCH_BITS hashed bits, with the number of words (at most 1023) at the low end: two numbers a text."""
+    place = _mix(word, 3) % np.uint64(SKETCH_BITS)
+    low = place < LOW_BITS
+    one = np.uint64(1)
+    bits = np.stack([np.where(low, np.left_shift(one, place + np.uint64(10)), 0), np.where(low, 0, np.left_shift(one, place - np.uint64(LOW_BITS)))], 1).astype(np.uint64)
+    parity = np.bitwise_xor.reduceat(bits, start) if len(start) else np.zeros((0, 2), np.uint64)
+    parity[:, 0] |= np.minimum(n, 1023).astype(np.uint64)
+    return parity.view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, counts: np.ndarray, tenths: int) -> tuple[np.ndarray, Texts]:
@@ -226,7 +232,7 @@ def _sign(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key_counts: np.
                 pa.ListArray.from_arrays(keys_to, pa.array(low)),
                 pa.ListArray.from_arrays(keys_to, pa.array(at.astype(np.int16))),
                 pa.ListArray.from_arrays(ids_to, pa.array(ids[text[new]])),
-                pa.ListArray.from_arrays(ids_to, pa.array(sketch[text[new]])),
+                pa.ListArray.from_arrays(pa.array(ids_to.to_numpy() * 2, pa.int32()), pa.array(sketch[text[new]].ravel())),
             ],
             ["bucket", "keys", "texts", "ids", "sketches"],
         )
@@ -243,7 +249,7 @@ def _join_bucket(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.
         parts[0].append(key.flatten().to_numpy().view(np.uint32))
         parts[1].append(text.flatten().to_numpy().astype(np.int64) + np.repeat(first, np.diff(text.offsets.to_numpy())))
         parts[2].append(ids.flatten().to_numpy())
-        parts[3].append(sketch.flatten().to_numpy().view(np.uint64))
+        parts[3].append(sketch.flatten().to_numpy().view(np.uint64).reshape(-1, 2))
         n += int(sizes.sum())
     if not n:
         return
@@ -253,7 +259,7 @@ def _join_bucket(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.
     key, text = key[order], text[order]
     sketch = sketch[text]
     plain, key = (key & np.uint32(1)).astype(bool), key >> np.uint32(1)
-    words, parity = (sketch & np.uint64(1023)).astype(np.int16), sketch >> np.uint64(10)
+    words, parity, more = (sketch[:, 0] & np.uint64(1023)).astype(np.int16), sketch[:, 0] >> np.uint64(10), sketch[:, 1].copy()
     # Most differing bits by the words of both; a capped number of words says nothing, the sets are compared later.
     most = np.array([max_difference(0, t, tenths) if t < 1023 else SKETCH_BITS for t in range(2047)], np.int16)
     found: list[np.ndarray] = []
@@ -273,7 +279,11 @@ def _join_bucket(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.
         i, j = i[same], j[same]
         one = plain[i] | plain[j]
         a, b = i[one], j[one]
-        fits = np.bitwise_count(parity[a] ^ parity[b]) <= most[words[a] + words[b]]
+        bound = most[words[a] + words[b]]
+        differ = np.bitwise_count(parity[a] ^ parity[b])
+        fits = differ <= bound
+        a, b = a[fits], b[fits]
+        fits = differ[fits] + np.bitwise_count(more[a] ^ more[b]) <= bound[fits]
         if fits.any():
             x, y = text[a[fits]], text[b[fits]]
             found.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))

@@ -87,7 +87,7 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch, frequent, hot, met)
         counts = np.bincount(near_duplicates.frequent_slots(t, slots, frequent), minlength=slots)
         key, text, plain_ = near_duplicates.signatures(t, np.array(ids), counts, frequent, hot, met)
         low = (key.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | plain_
-        columns = {"bucket": [0], "keys": [low.view(np.int32)], "texts": [text.astype(np.int16)], "ids": [np.array(ids)], "sketches": [near_duplicates._sketch(t.start, t.n, t.word)]}
+        columns = {"bucket": [0], "keys": [low.view(np.int32)], "texts": [text.astype(np.int16)], "ids": [np.array(ids)], "sketches": [near_duplicates._sketch(t.start, t.n, t.word).ravel()]}
         batch = pa.RecordBatch.from_pydict(columns)
         return {(r["a"], r["b"]) for out in near_duplicates._join_bucket(iter([batch]), 7) for r in out.to_pylist()}
 

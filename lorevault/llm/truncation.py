@@ -25,9 +25,9 @@ FLUSH = 500_000
 TOKEN = re.compile(rf"[a-z]+://\S+|[{HAN}]|[^\W{HAN}]+(?:[-./@:]+[^\W{HAN}]+)*|[^\w\s]")
 PLAIN = re.compile(rf"[{HAN}]|[^\W\d_{HAN}]+")
 FULL_STOP = re.compile(r"[.!?。！？．]+$")
-TERMINAL = re.compile(r"([.!?。！？．][\"')\]`*”’»」』）]*|[)\]）】」』”]|`)$")
-# What writers put where the rest was dropped.
-DROPPED = re.compile(r"(…|\.\.\.|�|[\[(<{（【](?:\.\.\.|…|more|truncated|cut|continued|snip|gekürzt|mehr|abgeschnitten|cortado|más|truncado|continúa|截断|更多|未完|续)[^\])>}）】]{0,24}[\])>}）】])$", re.I)
+TERMINAL = re.compile(r"([.!?。！？．][\"')\]`*”’»」』）]*|`|^[(（].*[)）])$")
+# What stands where the rest was dropped; other signs show as endings that no line has.
+DROPPED = re.compile(r"(…|\.\.\.|�)[\])>}）】]?$")
 PAIRS = (("(", ")"), ("[", "]"), ("（", "）"), ("【", "】"), ("“", "”"), ("「", "」"), ("{", "}"))
 
 

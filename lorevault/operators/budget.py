@@ -31,3 +31,16 @@ def greedy(df: DataFrame, key: str, cost: str, budget: int, by: list[str], order
         return F.when(used <= budget, F.struct(used.alias("used"), taken.alias("taken"))).otherwise(acc)
 
     return lists.select(*by, F.explode(F.aggregate("l", start, step)["taken"]).alias("t")).select(*by, F.col("t.k").alias(key), F.col("t.used").alias("used"))
+
+
+def alternating(items: DataFrame, most: int) -> DataFrame:
+    """Facts and episodes of each query that fit into ``most`` when the last of the longer list leaves first, the fact of lists equally long.
+
+    ``items`` has query, kind ('fact' or 'episode'), place (from 1) and cost. What stays are the
+    first n of an order that takes both lists in turn, then the rest of the longer one.
+    """
+    w = Window.partitionBy("query")
+    f, e = (F.count_if(F.col("kind") == k).over(w) for k in ("fact", "episode"))
+    short = F.least(f, e)
+    turn = F.when(F.col("place") > short, short + F.col("place")).when(F.col("kind") == "fact", 2 * F.col("place")).otherwise(2 * F.col("place") - 1)
+    return items.withColumn("turn", turn).withColumn("used", F.sum("cost").over(w.orderBy("turn"))).where(F.col("used") <= most)

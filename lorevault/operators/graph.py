@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lorevault.session import stage
 
@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Alternates large-star and small-star steps, which halve the depth of the
     trees in a logarithmic number of rounds; each round is written to the shared
-    folder. Loops and repeated edges do no harm, null ends are left out, an
+    folder. More than ``max_rounds`` (enough for 2 ** 30 nodes in a row) is an error. Loops and repeated edges do no harm, null ends are left out, an
     empty table gives no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
@@ -32,6 +32,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -42,40 +44,42 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return forth.unionByName(edges.select(F.col("tail").alias("node"), F.col("head").alias("other"), *rest))
 
 
-def expansion(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.55, least: float = 0.05) -> DataFrame:
-    """Best score of every edge met from the seeds: head, tail, score.
+def expansion(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.55, least: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """Best score of every edge met from the seeds: head, tail, score; for every set of seeds told apart by the columns ``by``.
 
     ``edges`` has head, tail, confidence, weight; ``seeds`` node, sim. A node is
     attained with the best value over its paths; each hop multiplies it by
     decay ** hop and the weight of the relation, values under ``least`` end.
     """
     adjacent = both_ways(edges.withColumn("edge", F.struct("head", "tail")))
-    front = seeds.groupBy("node").agg(F.max("sim").alias("attained"))
-    seen, scored = front.select("node"), None
+    front = seeds.groupBy(*by, "node").agg(F.max("sim").alias("attained"))
+    seen, scored = front.select(*by, "node"), None
     for hop in range(1, hops + 1):
         step = front.join(adjacent, "node").withColumn("value", F.round(F.col("attained") * decay**hop * F.col("weight"), 12)).where(F.col("value") >= least)
-        s = step.select("edge", (F.col("confidence") * F.col("value") / (hop + 1) ** 0.5).alias("score"))
+        s = step.select(*by, "edge", (F.col("confidence") * F.col("value") / (hop + 1) ** 0.5).alias("score"))
         scored = s if scored is None else scored.unionByName(s)
-        front = step.groupBy(F.col("other").alias("node")).agg(F.max("value").alias("attained")).join(seen, "node", "left_anti")
-        seen = seen.unionByName(front.select("node"))
-    return scored.groupBy("edge").agg(F.max("score").alias("score")).select("edge.head", "edge.tail", F.round("score", 9).alias("score"))
+        front = step.groupBy(*by, F.col("other").alias("node")).agg(F.max("value").alias("attained")).join(seen, [*by, "node"], "left_anti")
+        seen = seen.unionByName(front.select(*by, "node"))
+    return scored.groupBy(*by, "edge").agg(F.max("score").alias("score")).select(*by, "edge.head", "edge.tail", F.round("score", 9).alias("score"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 24, stage_every: int = 6) -> DataFrame:
-    """Personalised PageRank with restart to the seeds: node, mass.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 24, stage_every: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """Personalised PageRank with restart to the seeds: node, mass; for every set of seeds told apart by the columns ``by``.
 
     Undirected, weighted by ``weight``; a fixed number of rounds; the mass of a
-    node without edges is lost. Lineage is cut every few rounds.
+    node without edges is lost. What is restarted joins the sums of a round as rows, so a
+    round is a join and one aggregation; lineage is cut every few rounds.
     """
     adjacent = both_ways(edges.select("head", "tail", "weight"))
     out = adjacent.groupBy("node").agg(F.sum("weight").alias("total"))
     flow = stage(adjacent.join(out, "node").select("node", "other", (F.col("weight") / F.col("total")).alias("share")), "rank-flow")
-    total = seeds.agg(F.sum("sim").alias("t"))
-    restart = stage(seeds.crossJoin(F.broadcast(total)).select("node", (F.col("sim") / F.col("t")).alias("r")), "rank-restart")
-    mass = restart.select("node", F.col("r").alias("mass"))
+    total = F.sum("sim").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
+    restart = stage(seeds.groupBy(*by, "node").agg(F.sum("sim").alias("sim")).select(*by, "node", (F.col("sim") / total).alias("mass")), "rank-restart")
+    again = restart.select(*by, "node", (alpha * F.col("mass")).alias("mass"))
+    mass = restart
     for i in range(rounds):
-        moved = mass.join(flow, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("m"))
-        mass = moved.join(restart, "node", "full").select("node", ((1 - alpha) * F.coalesce("m", F.lit(0.0)) + alpha * F.coalesce("r", F.lit(0.0))).alias("mass"))
+        moved = mass.join(flow, "node").select(*by, F.col("other").alias("node"), ((1 - alpha) * F.col("mass") * F.col("share")).alias("mass"))
+        mass = moved.unionByName(again).groupBy(*by, "node").agg(F.sum("mass").alias("mass"))
         if (i + 1) % stage_every == 0:
             mass = stage(mass, "rank")
     return mass

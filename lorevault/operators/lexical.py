@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from lorevault.functions.text import terms
 from lorevault.session import stage
@@ -19,14 +19,19 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     Statistics are over all documents. Ties are ordered by doc.
     """
     q = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    d = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts"))
-    stats = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    # Only postings of query terms are kept, before anything is counted; they are used twice.
-    wanted = q.select("term").distinct()
-    t = docs.select(F.col(key).alias("doc"), terms(F.col(text)).alias("ts")).select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    p = stage(t.join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    # One pass over the texts: lengths are observed while the postings of query terms, which are used twice, are written.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    spread_out = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    if spread_out.rdd.getNumPartitions() < cores:
+        spread_out = spread_out.repartition(cores)
+    seen = Observation()
+    t = spread_out.select("doc", terms(F.col("text")).alias("ts")).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("ts")).alias("length"))
+    t = t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    p = stage(t.join(q.select("term").distinct(), "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs = seen.get["n"]
+    stats = {"n_docs": F.lit(n_docs), "avgdl": F.lit(float(seen.get["length"] or 0) / max(n_docs, 1))}
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = p.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))
+    hits = p.join(df, "term").join(q, "term").withColumns(stats)
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("bm25"))

@@ -11,7 +11,7 @@ from lorevault.functions import decay, embedding, text as T
 from lorevault.operators import graph, knn
 from lorevault.plans.catalog import Catalog, Tables
 from lorevault.plans.episodes import visible, with_retention
-from lorevault.plans.retrieval import _BELIEF, _EDGES, _LEX, _SEEDS, _VALID, _COS, beliefs, edges, lexical_hits, seeds
+from lorevault.plans.retrieval import _keywords, _BELIEF, _EDGES, _LEX, _SEEDS, _VALID, _COS, beliefs, edges, lexical_hits, questions, seeds
 
 C = Catalog()
 queries, oracle_sql = C.queries, C.oracle_sql
@@ -45,12 +45,12 @@ def joi04(t: Tables) -> DataFrame:
     return t.anchors.select("anchor_id", "seq", "session_key").join(wanted, "session_key", "left_semi").select("anchor_id", "seq")
 
 
-_VECQ = f"v as (select memory_id as doc, embedding::double[] as v from vectors join l2_episodes on ord = rowid where {_VALID}), qv as (select vec_id as query, embedding::double[] as v from embeddings where label = 0), near as (select *, row_number() over (partition by query order by similarity desc, doc) as place from (select b.query, a.doc, round({_COS}, 9) as similarity from v a, qv b))"
+_VECQ = f"v as (select memory_id as doc, embedding::double[] as v from vectors join l2_episodes on ord = rowid where {_VALID}), qv as (select vec_id as query, embedding::double[] as v from embeddings where vec_id % 20 = 0), near as (select *, row_number() over (partition by query order by similarity desc, doc) as place from (select b.query, a.doc, round({_COS}, 9) as similarity from v a, qv b))"
 
 
 def vector_hits(t: Tables, k: int) -> DataFrame:
     v = t.vectors.join(t.l2_episodes.select(F.col("ord").alias("rowid"), "memory_id"), "rowid").select("memory_id", "embedding")
-    return knn.nearest(v, "memory_id", "embedding", t.embeddings.where("label = 0"), "vec_id", "embedding", k)
+    return knn.nearest(v, "memory_id", "embedding", t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", k)
 
 
 @C.query("TOP05", f"with {_VECQ} select query, doc, place from near where place <= 24")
@@ -67,7 +67,7 @@ def joi10(t: Tables) -> DataFrame:
     recent = visible(t.l2_episodes).select("memory_id", "created_at").orderBy(F.desc("created_at"), "memory_id").limit(24)
     recent = recent.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "memory_id"))).select(F.col("memory_id").alias("doc"), (0.9 - F.col("place") / 100.0).alias("similarity"))
     a = vector_hits(t, 24).select("query", "doc", "similarity")
-    b = t.embeddings.where("label = 0").select(F.col("vec_id").alias("query")).crossJoin(F.broadcast(recent))
+    b = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query")).crossJoin(F.broadcast(recent))
     return a.unionByName(b).groupBy("query", "doc").agg(F.round(F.max("similarity"), 6).alias("best"))
 
 
@@ -89,23 +89,13 @@ def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower())
 
 
-@C.query("STR01", "select ord, lower(nfc_normalize(summary)) as folded from l2_episodes where not regexp_matches(summary, '[^\\x{0}-\\x{7f}]')")
+@C.query("STR01")
 def str01(t: Tables) -> DataFrame:
-    """Compatibility form in lower case, of summaries in ASCII only; STR01_all has all rows."""
-    e = t.l2_episodes.select("ord", "summary")
-    return e.where(~F.col("summary").rlike(r"[^\x00-\x7f]")).select("ord", F.lower("summary").alias("folded"))
-
-
-@C.query("STR01_unicode")
-def str01_unicode(t: Tables) -> DataFrame:
-    return t.l2_episodes.select("ord", "summary").where(F.col("summary").rlike(r"[^\x00-\x7f]")).select("ord", F.pandas_udf(_folded, "string")("summary").alias("folded"))
-
-
-@C.query("STR01_all")
-def str01_all(t: Tables) -> DataFrame:
     """Compatibility form in lower case of every summary, null of null; only texts with other than ASCII characters go through Python."""
-    null = t.l2_episodes.where("summary is null").select("ord", F.col("summary").alias("folded"))
-    return str01(t).unionByName(str01_unicode(t)).unionByName(null)
+    e = t.l2_episodes.select("ord", "summary")
+    other = F.col("summary").rlike(r"[^\x00-\x7f]")
+    plain = e.where(~F.coalesce(other, F.lit(False))).select("ord", F.lower("summary").alias("folded"))
+    return plain.unionByName(e.where(other).select("ord", F.pandas_udf(_folded, "string")("summary").alias("folded")))
 
 
 @C.query("STR03", r"select ord, r as run, array_to_string(list_transform(range(1, length(r)), lambda i: substring(r, i, 2)), '|') as pairs from (select ord, unnest(regexp_extract_all(summary, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]+')) as r from l2_episodes) where length(r) > 1")
@@ -126,13 +116,16 @@ def str16(t: Tables) -> DataFrame:
     return t.memory_digests.select("digest_id", T.without_fences(F.col("content")).alias("body")).distinct()
 
 
-_GLOBAL, _RELATIONAL, _TEMPORAL = "overall|summary|all projects|总体|总结", "depend|relat|connect|between|依赖|关系", r"when|before|after|since|\bon "
+_GLOBAL = "总结|概述|整体|汇总|都有哪些|全部|概况|summary|overview|overall|all of|in general|有哪些$"
+_RELATIONAL = "的关系|什么关系|之间|影响|导致|依赖|关联|为什么|如何影响|relationship|related|connect|why does|leads to|causes|depends on|between"
+_TEMPORAL = "以前|之前|当时|历史|曾经|以前是|后来|之前是|previously|used to|before|earlier|last year|on "
+_ROUTE = f"""(select i.item_id, coalesce(regexp_matches(q, '{_TEMPORAL}'), false) as temporal, case when regexp_matches(q, '{_GLOBAL}') then 'global' when regexp_matches(q, '{_RELATIONAL}') then 'relational' when regexp_matches(q, '{_TEMPORAL}') then 'temporal' when len(keywords) >= 6 then 'relational' else 'point' end as kind
+from (select item_id, lower(trim(coalesce(instruction, passage))) as q from eval_items) i left join {_keywords('eval_items', 'item_id', 'coalesce(instruction, passage)')} k using (item_id))"""
 
 
-@C.query("STR22", f"select item_id, case when regexp_matches(lower(instruction), '{_GLOBAL}') then 'global' when regexp_matches(lower(instruction), '{_RELATIONAL}') then 'relational' else 'point' end as route, coalesce(regexp_matches(lower(instruction), '{_TEMPORAL}'), false) as temporal from eval_items")
+@C.query("STR22", f"select item_id, kind, temporal from {_ROUTE}")
 def str22(t: Tables) -> DataFrame:
-    q = F.lower("instruction")
-    return t.eval_items.select("item_id", F.when(q.rlike(_GLOBAL), "global").when(q.rlike(_RELATIONAL), "relational").otherwise("point").alias("route"), F.coalesce(q.rlike(_TEMPORAL), F.lit(False)).alias("temporal"))
+    return T.route(questions(t), "item_id", "question")
 
 
 @C.query("MTH01", "select event_id, case when value is null or isnan(value) then 0.5 else least(1.0, greatest(0.05, value / 100)) end as importance from events")
@@ -178,46 +171,6 @@ def hyb02(t: Tables) -> DataFrame:
     return s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("item_id", "project_id", "stage")
 
 
-@C.query("GRA02", f"with {_EDGES}, {_SEEDS} select node, round(max(sim), 6) as sim from (select node, sim from seeds union all select 'en_n' || n_nationkey, 0.85 from nation where n_regionkey = 1) where sim > 0.08 group by 1")
-def gra02(t: Tables) -> DataFrame:
-    named = t.nation.where("n_regionkey = 1").select(F.concat(F.lit("en_n"), "n_nationkey").alias("node"), F.lit(0.85).alias("sim"))
-    return seeds(t).unionByName(named).where("sim > 0.08").groupBy("node").agg(F.round(F.max("sim"), 6).alias("sim"))
-
-
-@C.query("GRA06", f"with {_EDGES}, top as (select node from (select 'en_c' || c_custkey as node, row_number() over (order by c_acctbal desc, c_custkey) as rn from customer) where rn <= 4) select distinct head, tail, round(0.5 * confidence, 6) as score from edges where head in (select node from top) or tail in (select node from top)")
-def gra06(t: Tables) -> DataFrame:
-    """All edges around the four strongest seeds."""
-    top = t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(4).select(F.concat(F.lit("en_c"), "c_custkey").alias("node"))
-    e = edges(t)
-    a = e.join(F.broadcast(top), e["head"] == top["node"], "left_semi")
-    b = e.join(F.broadcast(top), e["tail"] == top["node"], "left_semi")
-    return a.unionByName(b).select("head", "tail", F.round(0.5 * F.col("confidence"), 6).alias("score")).distinct()
-
-
-_REGIONS = f"{_EDGES}, members as (select head as node, tail as community, confidence from edges where relation = 'located_in')"
-
-
-@C.query("GRA08", f"with {_REGIONS}, r as (select *, row_number() over (partition by community order by confidence desc, node) as rn, count(*) over (partition by community) as size from members) select community, size, string_agg(node, ', ' order by rn) filter (rn <= 6) as strongest, left(sha1(community || ':' || size), 16) as signature from r group by community, size having size >= 3")
-def gra08(t: Tables) -> DataFrame:
-    """Size, six strongest members and signature of each community of places."""
-    m = edges(t).where("relation = 'located_in'").select(F.col("head").alias("node"), F.col("tail").alias("community"), "confidence")
-    w = Window.partitionBy("community").orderBy(F.desc("confidence"), "node")
-    size = m.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
-    top = m.withColumn("rn", F.row_number().over(w)).where("rn <= 6").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "node"))), lambda x: x["node"]), ", ").alias("strongest"))
-    return size.join(top, "community").select("community", "size", "strongest", F.left(F.sha1(F.concat("community", F.lit(":"), F.col("size").cast("string"))), F.lit(16)).alias("signature"))
-
-
-@C.query("GRA10", f"with {_REGIONS}, q as (select distinct node from members where confidence > 0.95) select community, round(0.6 * least(1.0, count(*) / 4.0) + 0.4 * avg(confidence), 6) as score from members where node in (select node from q) group by 1")
-def gra10(t: Tables) -> DataFrame:
-    m = edges(t).where("relation = 'located_in'").select(F.col("tail").alias("community"), "confidence").where("confidence > 0.95")
-    return m.groupBy("community").agg(F.round(0.6 * F.least(F.lit(1.0), F.count(F.lit(1)) / 4.0) + 0.4 * F.avg("confidence"), 6).alias("score"))
-
-
-@C.query("TOP06", f"with {_REGIONS}, q as (select distinct node from members where confidence > 0.95) select community from (select community, round(0.6 * least(1.0, count(*) / 4.0) + 0.4 * avg(confidence), 6) as score from members where node in (select node from q) group by 1) order by score desc, community limit 3")
-def top06(t: Tables) -> DataFrame:
-    return gra10(t).orderBy(F.desc("score"), "community").limit(3).select("community")
-
-
 @C.query("GRA14", f"with {_BELIEF} select o_orderkey, head from b where tail in ('1-URGENT') or head in (select 'en_c' || c_custkey from customer where c_mktsegment = 'MACHINERY')")
 def gra14(t: Tables) -> DataFrame:
     """Audit rows that touch a tail or any of a set of heads."""

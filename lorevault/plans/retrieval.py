@@ -11,20 +11,30 @@ from lorevault.plans.catalog import Catalog, Tables
 C = Catalog()
 queries, oracle_sql = C.queries, C.oracle_sql
 
-_HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-# Runs of one script, then Han runs as characters and pairs.
-def _runs(c: str) -> str:
-    return r"regexp_extract_all(regexp_replace(lower(" + c + "), '([" + _HAN + r"]+)', ' \1 ', 'g'), '[\p{L}\p{N}_]+')"
+_HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
+_STOP = ", ".join(f"'{w}'" for w in "a an the and or but if then else of to in on at by for with from as is are was were be been being it its this that these those i you he she they we me my your our their what which who whom how when where why not no yes do does did done can could should would will shall may might must about into over under again more most other some such only own same so than too very just".split())
+# Compatibility forms: full-width digits and letters, ordinals.
+_WIDE, _NARROW = (end + "".join(chr(c + shift) for c in (*range(48, 58), *range(65, 91), *range(97, 123))) for shift, end in ((0xFEE0, "ºª"), (0, "oa")))
+
 
+def _runs(c: str) -> str:
+    """Runs of one script, in SQL."""
+    return rf"regexp_extract_all(regexp_replace(lower(translate({c}, '{_WIDE}', '{_NARROW}')), '([{_HAN}]+)', ' \1 ', 'g'), '[\p{{L}}\p{{N}}_]+')"
 
 
 def _terms(c: str) -> str:
+    """Han runs as characters and pairs, others unless stopwords or too long, in SQL."""
     runs = _runs(c)
     grams = f"case when regexp_matches(r, '^[{_HAN}]') then list_concat(list_transform(range(1, length(r) + 1), lambda i: substring(r, i, 1)), list_transform(range(1, length(r)), lambda i: substring(r, i, 2))) else [r] end"
     return f"list_filter(flatten(list_transform({runs}, lambda r: {grams})), lambda t: length(t) <= 24 and t not in ({_STOP}))"
 
 
+def _keywords(source: str, key: str, text: str, limit: int = 12) -> str:
+    """Table of key and keywords, in SQL."""
+    return f"""(select {key}, list_slice(string_split(list_reduce(ts, lambda a, t: case when regexp_full_match(t, '[{_HAN}]{{2}}') and regexp_full_match(split_part(a, '|', -1), '[{_HAN}]{{2,}}') and right(a, 1) = left(t, 1) then a || right(t, 1) else a || '|' || t end), '|'), 1, {limit}) as keywords
+from (select {key}, list(term order by rn) as ts from (select {key}, term, row_number() over (partition by {key} order by weight desc, length(term) desc, term) as rn from (select {key}, term, round(count(*) * case when length(term) >= 2 then 1.6 else 1.0 end, 6) as weight from (select {key}, unnest({_terms(text)}) as term from {source}) group by {key}, term)) where rn <= {3 * limit} group by {key}))"""
+
+
 @C.query("STR02", f"select ord, array_to_string({_runs('summary')}, '|') as runs from l2_episodes")
 def str02(t: Tables) -> DataFrame:
     return t.l2_episodes.select("ord", F.array_join(T.runs(F.col("summary")), "|").alias("runs"))
@@ -35,14 +45,10 @@ def str04(t: Tables) -> DataFrame:
     return t.l2_episodes.select("ord", F.array_join(T.terms(F.col("summary")), "|").alias("terms"))
 
 
-@C.query("STR05", f"select project_id, term, weight from (select *, row_number() over (partition by project_id order by weight desc, length(term) desc, term) as rn from (select project_id, term, round(count(*) * case when length(term) >= 2 then 1.6 else 1.0 end, 6) as weight from (select project_id, unnest({_terms('summary')}) as term from l2_episodes) group by project_id, term)) where rn <= 12")
+@C.query("STR05", f"select ord, array_to_string(keywords, '|') as keywords from {_keywords('l2_episodes', 'ord', 'summary')}")
 def str05(t: Tables) -> DataFrame:
-    """The terms of most weight of each project."""
-    terms = t.l2_episodes.select("project_id", F.explode(T.terms(F.col("summary"))).alias("term"))
-    n = terms.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("weight", F.round(F.col("n") * F.when(F.length("term") >= 2, 1.6).otherwise(1.0), 6))
-    w = Window.partitionBy("project_id").orderBy(F.desc("weight"), F.desc(F.length("term")), "term")
-    return n.withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("project_id", "term", "weight")
+    """The keywords of each summary."""
+    return T.keywords(t.l2_episodes, "ord", "summary").select("ord", F.array_join("keywords", "|").alias("keywords"))
 
 
 @C.query("STR06", f"select digest_id, content, case when content is null or content = '' then 0 else floor(h + (length(content) - h) / 3.5)::int + 1 end as tokens from (select *, length(regexp_replace(content, '[^{_HAN}]', '', 'g')) as h from memory_digests)")
@@ -82,7 +88,10 @@ def str12(t: Tables) -> DataFrame:
     return t.l2_episodes.select("ord", h.alias("h"), (h == F.lower("summary_hash")).alias("fresh"))
 
 
-@C.query("STR14", r"select anchor_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(quote, '\"[^\"]*\"|''[^'']*''', '<str>', 'g'), '(?:[A-Za-z]:)?(?:/[^\s/]+)+', '<path>', 'g'), 'https?://\S+', '<url>', 'g'), '\b[0-9]+\b', '<num>', 'g'), '\s+', ' ', 'g')), 1, 160) as template from anchors where event_type = 'tool_call'".replace('\\"', '"'))
+_TEMPLATE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(quote), '"[^"]{1,120}"|''[^'']{1,120}''|`[^`]{1,120}`', '<quoted>', 'g'), '[A-Za-z]:\\[^\s"'']+|(?:\.{0,2}/[\w./\-]+)', '<path>', 'g'), 'https?://\S+', '<url>', 'g'), '\b\d+(?:\.\d+)?\b', '<number>', 'g'), '\s+', ' ', 'g')"""
+
+
+@C.query("STR14", f"select anchor_id, case when length(trim(s)) <= 160 then trim(s) else rtrim(substring(trim(s), 1, 159)) || '…' end as template from (select anchor_id, {_TEMPLATE} as s from anchors where event_type = 'tool_call')")
 def str14(t: Tables) -> DataFrame:
     return t.anchors.where("event_type = 'tool_call'").select("anchor_id", T.template(F.col("quote")).alias("template"))
 
@@ -124,10 +133,10 @@ def vec01(t: Tables) -> DataFrame:
     return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("to_first"))
 
 
-@C.query("VEC02", f"with v as (select rowid as id, embedding::double[] as v from vectors where {_VALID}), q as (select vec_id, embedding::double[] as v from embeddings where label = 0), s as (select b.vec_id as query, a.id as doc, round({_COS}, 9) as similarity from v a, q b) select query, doc, place, round(similarity, 6) as similarity from (select *, row_number() over (partition by query order by similarity desc, doc) as place from s) where place <= 10")
+@C.query("VEC02", f"with v as (select rowid as id, embedding::double[] as v from vectors where {_VALID}), q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), s as (select b.vec_id as query, a.id as doc, round({_COS}, 9) as similarity from v a, q b) select query, doc, place, round(similarity, 6) as similarity from (select *, row_number() over (partition by query order by similarity desc, doc) as place from s) where place <= 10")
 def vec02(t: Tables) -> DataFrame:
-    """The 10 vectors of the store most similar to each embedding of one label."""
-    q = t.embeddings.where("label = 0")
+    """The 10 vectors of the store most similar to each embedding whose id is divisible by 20."""
+    q = t.embeddings.where("vec_id % 20 = 0")
     return knn.nearest(t.vectors, "rowid", "embedding", q, "vec_id", "embedding", 10).select("query", "doc", "place", F.round("similarity", 6).alias("similarity"))
 
 
@@ -147,7 +156,7 @@ def joi09(t: Tables) -> DataFrame:
     return out.where("la <> lb").select(F.col("query").alias("id_a"), F.col("doc").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
-_BM25 = f"""with d as (select memory_id as doc, {_terms('summary')} as ts from l2_episodes), q as (select item_id as query, unnest(list_distinct({_terms('instruction')})) as term from eval_items),
+_BM25 = f"""with d as (select memory_id as doc, {_terms('summary')} as ts from l2_episodes), q as (select item_id as query, unnest(list_distinct({_terms('coalesce(instruction, passage)')})) as term from eval_items),
 p as (select doc, len(ts) as dl, unnest(ts) as term from d), tf as (select doc, dl, term, count(*) as tf from p group by all), df as (select term, count(*) as df from tf group by 1),
 st as (select count(*) as n, avg(len(ts)) as a from (select coalesce(ts, []) as ts from d)),
 s as (select query, doc, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) as bm25 from tf join df using (term) join q using (term), st group by 1, 2),
@@ -160,7 +169,12 @@ def lex01(t: Tables) -> DataFrame:
 
 
 def lexical_hits(t: Tables) -> DataFrame:
-    return lexical.bm25(t.l2_episodes, "memory_id", "summary", t.eval_items, "item_id", "instruction", 24)
+    return lexical.bm25(t.l2_episodes, "memory_id", "summary", questions(t), "item_id", "question", 24)
+
+
+def questions(t: Tables) -> DataFrame:
+    """The items with what they ask: the instruction, where there is none the passage."""
+    return t.eval_items.withColumn("question", F.coalesce("instruction", "passage"))
 
 
 _LEX = _BM25 + ", l as (select *, case when max(bm25) over w = min(bm25) over w then 0.9 else 0.45 + 0.45 * (bm25 - min(bm25) over w) / (max(bm25) over w - min(bm25) over w) end as lexical from r where place <= 24 window w as (partition by query))"
@@ -171,31 +185,6 @@ def lex02(t: Tables) -> DataFrame:
     return lexical.spread(lexical_hits(t), "bm25").select("query", "doc", F.round("lexical", 4).alias("lexical"))
 
 
-@C.query("FUS01", _BM25 + """, recent as (select query, doc, row_number() over (partition by query order by created_at desc, doc) as place from r join l2_episodes on memory_id = doc where place <= 24)
-select query, doc, round(sum(w / (60 + place)), 8) as fused from (select query, doc, place, 1.0 as w from r where place <= 24 union all select query, doc, place, 0.8 from recent) group by 1, 2""")
-def fus01(t: Tables) -> DataFrame:
-    """Reciprocal rank fusion of the lexical order and the order by age of the same hits."""
-    hits = lexical_hits(t)
-    dated = hits.join(t.l2_episodes.select(F.col("memory_id").alias("doc"), "created_at"), "doc")
-    w = Window.partitionBy("query").orderBy(F.desc("created_at"), "doc")
-    recent = dated.select("query", "doc", F.row_number().over(w).alias("place"), F.lit(0.8).alias("weight"))
-    lists = hits.select("query", "doc", "place", F.lit(1.0).alias("weight")).unionByName(recent)
-    return lexical.fused(lists).select("query", "doc", F.round("fused", 8).alias("fused"))
-
-
-@C.query("HYB01", _LEX + """, e as (select *, exp(-greatest(0.0, (epoch_us(timestamptz '2026-04-01 00:00:00+00') - epoch_us(coalesce(last_access, created_at))) / 3.6e9) / (24.0 * greatest(importance, 1e-6) * (1 + 0.5 * ln(1 + access_count)))) as ret from l2_episodes where forgotten_at is null and superseded_by is null),
-h as (select query, doc, round(lexical * (0.2 + 0.8 * ret), 9) as score, created_at from l join e on memory_id = doc where lexical >= 0.45)
-select query, doc, place from (select *, row_number() over (partition by query order by score desc, created_at desc, doc) as place from h) where place <= 8""")
-def hyb01(t: Tables) -> DataFrame:
-    """Recall: lexical hits of visible episodes, weighted by what is retained of them, the best 8."""
-    from lorevault.plans.episodes import visible, with_retention
-
-    e = with_retention(visible(t.l2_episodes)).select(F.col("memory_id").alias("doc"), "retention", "created_at")
-    h = lexical.spread(lexical_hits(t), "bm25").where("lexical >= 0.45").join(e, "doc")
-    w = Window.partitionBy("query").orderBy(F.desc(F.round(F.col("lexical") * (0.2 + 0.8 * F.col("retention")), 9)), F.desc("created_at"), "doc")
-    return h.withColumn("place", F.row_number().over(w)).where("place <= 8").select("query", "doc", "place")
-
-
 # Graph: places of trade as entities; part_of and located_in edges, uses edges from orders of parts.
 _EDGES = """edges as (select 'en_n' || n_nationkey as head, 'part_of' as relation, 'en_r' || n_regionkey as tail, 0.9 as confidence, 0.9 as weight from nation
 union all select 'en_c' || c_custkey, 'located_in', 'en_n' || c_nationkey, 0.5 + (c_custkey % 50) / 100.0, 1.0 from customer
@@ -247,14 +236,6 @@ def seeds(t: Tables) -> DataFrame:
     return t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("en_c"), "c_custkey").alias("node"), (0.3 + F.pmod("c_custkey", F.lit(7)) / 10.0).alias("sim"))
 
 
-@C.query("GRA03", f"with {_EDGES}, {_SEEDS} select head, tail, round(max(s), 6) as score from (select head, tail, sim * confidence * 0.85 as s from edges join seeds on head = node union all select head, tail, sim * confidence from edges join seeds on tail = node) group by 1, 2")
-def gra03(t: Tables) -> DataFrame:
-    e, s = edges(t), seeds(t)
-    a = e.join(s, e["head"] == s["node"]).select("head", "tail", (F.col("sim") * F.col("confidence") * 0.85).alias("s"))
-    b = e.join(s, e["tail"] == s["node"]).select("head", "tail", (F.col("sim") * F.col("confidence")).alias("s"))
-    return a.unionByName(b).groupBy("head", "tail").agg(F.round(F.max("s"), 6).alias("score"))
-
-
 @C.query(
     "GRA04",
     f"""with {_EDGES}, {_SEEDS}, adj as (select head as node, tail as other, * from edges union all select tail, head, * from edges), f0 as (select node, max(sim) as attained from seeds group by 1),

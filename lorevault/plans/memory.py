@@ -246,23 +246,3 @@ def stm01(t: Tables) -> DataFrame:
 @C.query("SNK12", "select 'l2' as kind, count(*) filter (embedding is null or len(embedding) <> 64) as n_to_embed, count(*) as n from vectors")
 def snk12(t: Tables) -> DataFrame:
     return t.vectors.agg(F.count_if(F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("n_to_embed"), F.count(F.lit(1)).alias("n")).select(F.lit("l2").alias("kind"), "n_to_embed", "n")
-
-
-# Matching of skill cards (documents of that source) to the instructions of the evaluation items.
-_SKILL = "lower(replace(trim(source), '-', '_')) = 'skill_cards' and title is not null"
-_MATCH = f"""with s as (select doc_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) as labels, n_chars from documents where {_SKILL}),
-q as (select item_id, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) as words from eval_items), w as (select item_id, unnest(words) as x from q), l as (select doc_id, unnest(labels) as x from s),
-h as (select item_id, doc_id, count(*) as n from w join l using (x) group by 1, 2)
-select item_id, doc_id, round(score, 6) as score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rn from (select item_id, h.doc_id, round(0.4 * least(1.0, 0.7 + 0.1 * n) + 0.3 * n / len(labels) + 0.3 * least(1.0, n_chars / 2000.0), 9) as score from h join s using (doc_id))) where rn <= 12 and score >= 0.25"""
-
-
-@C.query("MAT04", _MATCH)
-def mat04(t: Tables) -> DataFrame:
-    """The best twelve skill cards of each item: shared words, share of the title's words, length."""
-    s = t.documents.where(F.lower(F.replace(F.trim("source"), F.lit("-"), F.lit("_"))) == "skill_cards").where("title is not null")
-    s = s.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0))).alias("labels"), "n_chars")
-    q = t.eval_items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("x"))
-    hits = s.select("doc_id", F.explode("labels").alias("x")).join(q, "x").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(s, "doc_id")
-    score = 0.4 * F.least(F.lit(1.0), 0.7 + 0.1 * F.col("n")) + 0.3 * F.col("n") / F.size("labels") + 0.3 * F.least(F.lit(1.0), F.col("n_chars") / 2000.0)
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("score", F.round(score, 9)).withColumn("rn", F.row_number().over(w)).where("rn <= 12 and score >= 0.25").select("item_id", "doc_id", F.round("score", 6).alias("score"))

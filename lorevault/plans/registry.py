@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from lorevault.plans import episodes, heavy, memory, procedures, recall, retrieval
+from lorevault.plans import episodes, heavy, memory, procedures, recall, retrieval, skills
 
 
 def modules() -> list[ModuleType]:
-    return [heavy, episodes, retrieval, procedures, memory, recall]
+    return [heavy, episodes, retrieval, procedures, memory, recall, skills]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lorevault.operators.running import running
 
-def prefix(df: DataFrame, cost: str, budget: int, by: list[str], order: list[Column]) -> DataFrame:
-    """The rows of each group, in order, up to the first one that no longer fits; ``used`` is what is spent so far."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+
+def prefix(df: DataFrame, cost: str, budget: int | Column, by: list[str], block: Column, order: list[Column]) -> DataFrame:
+    """The rows of each group, in the order of ``block`` and ``order``, up to the first one that no longer fits; ``used`` is what is spent so far.
+
+    A block is a part of a group that one task sums up, a day say; see ``running``.
+    """
+    return running(df, "used", F.col(cost), "sum", by, block, order).where(F.col("used") <= budget)
 
 
 def greedy(df: DataFrame, key: str, cost: str, budget: int, by: list[str], order: list[str]) -> DataFrame:

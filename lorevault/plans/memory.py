@@ -185,8 +185,10 @@ def bud04(t: Tables) -> DataFrame:
     from lorevault.operators import budget
 
     d = t.l2_episodes.where("summary is not null and project_id is not null").select("project_id", "memory_id", F.char_length("summary").alias("cost"), "created_at", "ord")
-    share = 200_000 // max(1, d.select("project_id").distinct().count())
-    return budget.prefix(d, "cost", share, ["project_id"], [F.desc("created_at"), F.desc("ord")]).select("project_id", "memory_id", "used")
+    share = d.agg(F.floor(F.lit(200_000) / F.countDistinct("project_id")).alias("share"))
+    d = d.crossJoin(F.broadcast(share))
+    kept = budget.prefix(d, "cost", F.col("share"), ["project_id"], -F.unix_date(F.to_date("created_at")), [F.desc("created_at"), F.desc("ord")])
+    return kept.select("project_id", "memory_id", "used")
 
 
 @C.query("WRT06", r"select name, min(project_id) as entity, count(*) as n_aliases from (select project_id, regexp_replace(trim(lower(coalesce(display_name, project_id))), '[\s_]+', ' ', 'g') as name from projects) group by 1")
@@ -196,28 +198,6 @@ def wrt06(t: Tables) -> DataFrame:
     return p.groupBy("name").agg(F.min("project_id").alias("entity"), F.count(F.lit(1)).alias("n_aliases"))
 
 
-@C.query("WRT08", f"with {_BELIEF} select head, arg_max(tail, (valid_from, o_orderkey)) as now_preferred, count(*) as n_claims from b group by 1")
-def wrt08(t: Tables) -> DataFrame:
-    """A relation that holds once: the last write wins, the others are closed."""
-    return beliefs(t).groupBy("head").agg(F.max_by("tail", F.struct("valid_from", "o_orderkey")).alias("now_preferred"), F.count(F.lit(1)).alias("n_claims"))
-
-
-@C.query("WRT09", f"with {_BELIEF} select head, tail, round(least(0.99, max(confidence) + 0.02 * (count(distinct recorded_at) - 1)), 6) as confidence, count(*) as n_evidence from b group by 1, 2")
-def wrt09(t: Tables) -> DataFrame:
-    """Repeated claims of one fact strengthen it a little with every new time of evidence."""
-    raised = F.max("confidence") + 0.02 * (F.countDistinct("recorded_at") - 1)
-    return beliefs(t).groupBy("head", "tail").agg(F.round(F.least(F.lit(0.99), raised), 6).alias("confidence"), F.count(F.lit(1)).alias("n_evidence"))
-
-
-@C.query("WRT10", "select anchor_id, seq from anchors where list_has_any(keywords, (select list(distinct k) from (select unnest(keywords) as k from anchors where feedback.status = 'unresolvable')))")
-def wrt10(t: Tables) -> DataFrame:
-    """Anchors that share a keyword with one that could not be resolved."""
-    lost = t.anchors.where("feedback.status = 'unresolvable'").select(F.explode("keywords").alias("k")).distinct()
-    a = t.anchors.select("anchor_id", "seq", F.monotonically_increasing_id().alias("row"), "keywords")
-    a = a.select("anchor_id", "seq", "row", F.explode("keywords").alias("k")).join(lost, "k", "left_semi")
-    return a.dropDuplicates(["row"]).select("anchor_id", "seq")
-
-
 @C.query("WRT16", "select project_id, summary_hash, state, min(ord) as first_ord, count(*) as n from l2_episodes group by 1, 2, 3")
 def wrt16(t: Tables) -> DataFrame:
     """Snapshots once per (project, hash, state)."""

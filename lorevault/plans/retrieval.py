@@ -304,11 +304,6 @@ def flt07(t: Tables) -> DataFrame:
     return beliefs(t).where("valid_from <= timestamp_ntz'1998-02-15' and (valid_to is null or valid_to > timestamp_ntz'1998-02-15')").select("head", "tail", "o_orderkey")
 
 
-@C.query("FLT08", f"with {_BELIEF} select head, tail, o_orderkey from iv where valid_from <= timestamp '1998-02-15' and (valid_to is null or valid_to > timestamp '1998-02-15') and recorded_at <= timestamp '1998-02-15'")
-def flt08(t: Tables) -> DataFrame:
-    return beliefs(t).where("valid_from <= timestamp_ntz'1998-02-15' and (valid_to is null or valid_to > timestamp_ntz'1998-02-15') and recorded_at <= timestamp_ntz'1998-02-15'").select("head", "tail", "o_orderkey")
-
-
 @C.query("JOI07", f"with {_BELIEF} select c_custkey, tail as preferred from customer left join iv on head = 'en_c' || c_custkey and valid_from <= timestamp '1999-06-01' and (valid_to is null or valid_to > timestamp '1999-06-01')")
 def joi07(t: Tables) -> DataFrame:
     """As-of join: what each customer preferred at a time."""
@@ -325,24 +320,6 @@ def joi11(t: Tables) -> DataFrame:
     return a.join(c, ["head", "valid_from"]).where("key_a < key_b and ta <> tb").select("key_a", "key_b")
 
 
-@C.query("STM08", f"with {_BELIEF}, o as (select *, max((valid_from, confidence)) over (partition by head order by recorded_at, o_orderkey rows between unbounded preceding and 1 preceding) as best from b) select o_orderkey, case when best is null or valid_from >= best[1] then 'accepted' else 'older_than_incumbent' end as verdict from o".replace("max((valid_from, confidence))", "max(valid_from)").replace("best[1]", "best"))
-def stm08(t: Tables) -> DataFrame:
-    """Claims in the order they were recorded: one that is older than the claim held so far is rejected."""
-    w = Window.partitionBy("head").orderBy("recorded_at", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("valid_from").over(w)
-    return beliefs(t).select("o_orderkey", F.when(best.isNull() | (F.col("valid_from") >= best), "accepted").otherwise("older_than_incumbent").alias("verdict"))
-
-
-@C.query("AGG02", f"with {_BELIEF} select count(*) as n_edges, count(*) filter (valid_to is null) as n_current, count(*) filter (valid_to is not null) as n_closed, count(distinct head) as n_heads, round(avg(confidence), 6) as mean_confidence from iv")
-def agg02(t: Tables) -> DataFrame:
-    return beliefs(t).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("valid_to").isNull()).alias("n_current"), F.count_if(F.col("valid_to").isNotNull()).alias("n_closed"), F.countDistinct("head").alias("n_heads"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
-
-
-@C.query("AGG13", f"with {_EDGES} select relation, count(*) as n, round(sum(confidence), 4) as total_confidence from edges group by 1")
-def agg13(t: Tables) -> DataFrame:
-    return edges(t).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("total_confidence"))
-
-
 @C.query("TOP09", f"with {_BELIEF} select head, o_orderkey, rn from (select head, o_orderkey, row_number() over (partition by head order by recorded_at, o_orderkey) as rn from b) where rn <= 50")
 def top09(t: Tables) -> DataFrame:
     w = Window.partitionBy("head").orderBy("recorded_at", "o_orderkey")

@@ -108,19 +108,6 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     return labels
 
 
-def reaches_itself(edges: DataFrame, most_hops: int = 6) -> DataFrame:
-    """Edges (head, tail) that close a cycle of at most ``most_hops`` + 1 edges; loops are cycles."""
-    e = edges.select("head", "tail").distinct()
-    step = e.select(F.col("head").alias("at"), F.col("tail").alias("next"))
-    front = e.select("head", "tail", F.col("tail").alias("at"))
-    found = e.where("head = tail")
-    for _ in range(most_hops):
-        front = front.join(step, "at").select("head", "tail", F.col("next").alias("at")).distinct()
-        found = found.unionByName(front.where("at = head").select("head", "tail"))
-        front = front.where("at <> head")
-    return found.distinct()
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges (head, tail) that lie on a cycle of any length; loops are cycles.
 

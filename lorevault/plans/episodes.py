@@ -89,11 +89,6 @@ def snk02(t: Tables) -> DataFrame:
     return t.projects.join(seen, "project_id", "full").select("project_id", "display_name", "org_id", F.unix_micros(F.least("created_at", "first_seen")).alias("created_us"), F.unix_micros(F.greatest("last_seen_at", "last_seen")).alias("seen_us"))
 
 
-@C.query("SNK04", "select kind, len(embedding) = 64 as fits, count(*) as n from vectors group by all")
-def snk04(t: Tables) -> DataFrame:
-    return t.vectors.groupBy("kind", F.when(F.col("embedding").isNotNull(), F.size("embedding") == 64).alias("fits")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @C.query(
     "SNK05",
     """with w as (select distinct project_id, strftime(created_at, '%Y-%m-%d') as day from l2_episodes where forgotten_at is null), h as (select distinct project_id, strftime(updated_at, '%Y-%m-%d') as day from l2_episodes)
@@ -164,11 +159,6 @@ def flt12(t: Tables) -> DataFrame:
     return t.l2_episodes.where((F.col("summary").contains("queue") | F.col("event_type").contains("queue")) & (F.col("state") != "archived")).select("memory_id")
 
 
-@C.query("FLT13", "select anchor_id, seq from anchors where list_contains(keywords, 'fenistmont') or list_contains(keywords, 'stoosyon')")
-def flt13(t: Tables) -> DataFrame:
-    return t.anchors.where(F.array_contains("keywords", "fenistmont") | F.array_contains("keywords", "stoosyon")).select("anchor_id", "seq")
-
-
 @C.query("FLT14", "select memory_id from l2_episodes where coalesce(event_type, '') not in ('preference', 'user_message')")
 def flt14(t: Tables) -> DataFrame:
     return t.l2_episodes.where(~F.coalesce("event_type", F.lit("")).isin("preference", "user_message")).select("memory_id")
@@ -190,11 +180,6 @@ def prj02(t: Tables) -> DataFrame:
     return with_retention(t.l2_episodes).select("memory_id", F.round("imp", 4).alias("importance4"), F.round("retention", 6).alias("retention6"))
 
 
-@C.query("JOI05", "select e.memory_id, e.anchor_id from l2_episodes e where e.anchor_id is not null and not exists (select 1 from anchors a where a.anchor_id = e.anchor_id)")
-def joi05(t: Tables) -> DataFrame:
-    return t.l2_episodes.where("anchor_id is not null").select("memory_id", "anchor_id").join(t.anchors.select("anchor_id"), "anchor_id", "left_anti")
-
-
 @C.query("JOI02", "select d.digest_id, e.memory_id, e.project_id from (select distinct digest_id, unnest(sources) as memory_id from memory_digests) d join l2_episodes e using (memory_id)")
 def joi02(t: Tables) -> DataFrame:
     d = t.memory_digests.select("digest_id", F.explode("sources").alias("memory_id")).distinct()
@@ -373,20 +358,6 @@ def wrt03(t: Tables) -> DataFrame:
     return e.groupBy(F.col("state").alias("before"), F.col("live_state").alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query(
-    "WRT01",
-    """with h as (select ord, project_id, content_key, sha1(lower(trim(regexp_replace(summary, '\\s+', ' ', 'g')))) as h from l2_episodes),
-k as (select *, case when content_key is not null then min(ord) over (partition by project_id, content_key) else ord end as by_key, min(ord) over (partition by project_id, h) as by_hash from h)
-select ord, least(by_key, by_hash) as kept_ord, case when by_key < ord then 'content_key' when by_hash < ord then 'summary_hash' else 'new' end as reason from k""",
-)
-def wrt01(t: Tables) -> DataFrame:
-    """Exact duplicates of an earlier episode of the project, by content key, then by hash of the squashed text."""
-    e = t.l2_episodes.select("ord", "project_id", "content_key", F.sha1(F.lower(F.trim(F.regexp_replace("summary", r"\s+", " ")))).alias("h"))
-    by_key = F.when(F.col("content_key").isNotNull(), F.min("ord").over(Window.partitionBy("project_id", "content_key"))).otherwise(F.col("ord"))
-    e = e.withColumn("by_key", by_key).withColumn("by_hash", F.min("ord").over(Window.partitionBy("project_id", "h")))
-    return e.select("ord", F.least("by_key", "by_hash").alias("kept_ord"), F.when(F.col("by_key") < F.col("ord"), "content_key").when(F.col("by_hash") < F.col("ord"), "summary_hash").otherwise("new").alias("reason"))
-
-
 @C.query("WRT02", "select e.memory_id, e.access_count + coalesce(n, 0) as access_count, epoch_us(greatest(e.last_access, a.last)) as last_us from l2_episodes e left join (select memory_id, count(*)::int as n, max(created_at) as last from (select distinct digest_id, created_at, unnest(sources) as memory_id from memory_digests) group by 1) a using (memory_id)")
 def wrt02(t: Tables) -> DataFrame:
     """Access counts and times folded from a log of accesses (the sources of digests)."""

@@ -76,15 +76,6 @@ def set04(t: Tables) -> DataFrame:
     return joi10(t).select("query", "doc")
 
 
-@C.query("AGG09", "with a as (select *, row_number() over (partition by project_id order by v desc) as rn from (select project_id, case when importance is null then 0.5 else importance end as v from l2_episodes where forgotten_at is null)), s as (select project_id, sum(v) as evidence from a where rn <= 3 group by 1) select p.project_id, round(case when evidence is null then 0.8 else 0.8 * (0.25 + evidence) end, 6) as strength from projects p left join s using (project_id)")
-def agg09(t: Tables) -> DataFrame:
-    """Strength of a belief about each project: its confidence, raised by the three best pieces of evidence."""
-    w = Window.partitionBy("project_id").orderBy(F.desc("v"))
-    v = t.l2_episodes.where("forgotten_at is null").select("project_id", F.coalesce("importance", F.lit(0.5)).alias("v"))
-    s = v.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("project_id").agg(F.sum("v").alias("evidence"))
-    return t.projects.select("project_id").join(s, "project_id", "left").select("project_id", F.round(F.when(F.col("evidence").isNull(), 0.8).otherwise(0.8 * (0.25 + F.col("evidence"))), 6).alias("strength"))
-
-
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower())
 
@@ -149,28 +140,11 @@ def vec04(t: Tables) -> DataFrame:
     return embedding.hashed(t.documents, "doc_id", "title")
 
 
-@C.query("LEX03", "select p.project_id, d.doc_id, 0.85 as sim from projects p join documents d on position(lower(p.display_name) in lower(d.title)) > 0")
-def lex03(t: Tables) -> DataFrame:
-    """Entities whose name is in a title, all with the same similarity; the projects are a fixed small table, its size is checked by the planner."""
-    p = t.projects.where("display_name is not null").select("project_id", F.lower("display_name").alias("name"))
-    return t.documents.select("doc_id", F.lower("title").alias("title")).join(p, F.col("title").contains(F.col("name"))).select("project_id", "doc_id", F.lit(0.85).alias("sim"))
-
-
 @C.query("JSN02", "select anchor_id, to_json({'agent': agent, 'seq': seq}) as encoded from anchors where agent is not null and seq is not null")
 def jsn02(t: Tables) -> DataFrame:
     return t.anchors.where("agent is not null and seq is not null").select("anchor_id", F.to_json(F.struct("agent", "seq")).alias("encoded"))
 
 
-@C.query("HYB02", r"with n as (select item_id, lower(trim(answer)) as q from eval_items), e as (select project_id, regexp_replace(trim(lower(display_name)), '[\s_]+', ' ', 'g') as name from projects where display_name is not null), s as (select item_id, project_id, case when q = name then 1 else 2 end as stage from n join e on q = name or position(name in q) > 0) select item_id, project_id, stage from (select *, row_number() over (partition by item_id order by stage, project_id) as rn from s) where rn <= 5")
-def hyb02(t: Tables) -> DataFrame:
-    """Entities of a text: by the whole name first, then by a name in it, at most five."""
-    e = t.projects.where("display_name is not null").select("project_id", T.name_key(F.col("display_name")).alias("name"))
-    n = t.eval_items.select("item_id", F.lower(F.trim("answer")).alias("q"))
-    s = n.join(e, F.col("q").contains(F.col("name"))).withColumn("stage", F.when(F.col("q") == F.col("name"), 1).otherwise(2))
-    w = Window.partitionBy("item_id").orderBy("stage", "project_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("item_id", "project_id", "stage")
-
-
 @C.query("GRA14", f"with {_BELIEF} select o_orderkey, head from b where tail in ('1-URGENT') or head in (select 'en_c' || c_custkey from customer where c_mktsegment = 'MACHINERY')")
 def gra14(t: Tables) -> DataFrame:
     """Audit rows that touch a tail or any of a set of heads."""
@@ -191,19 +165,6 @@ def bud04(t: Tables) -> DataFrame:
     return kept.select("project_id", "memory_id", "used")
 
 
-@C.query("WRT06", r"select name, min(project_id) as entity, count(*) as n_aliases from (select project_id, regexp_replace(trim(lower(coalesce(display_name, project_id))), '[\s_]+', ' ', 'g') as name from projects) group by 1")
-def wrt06(t: Tables) -> DataFrame:
-    """Entities by normalised name; several of one name are resolved to the least id."""
-    p = t.projects.select("project_id", T.name_key(F.coalesce("display_name", "project_id")).alias("name"))
-    return p.groupBy("name").agg(F.min("project_id").alias("entity"), F.count(F.lit(1)).alias("n_aliases"))
-
-
-@C.query("WRT16", "select project_id, summary_hash, state, min(ord) as first_ord, count(*) as n from l2_episodes group by 1, 2, 3")
-def wrt16(t: Tables) -> DataFrame:
-    """Snapshots once per (project, hash, state)."""
-    return t.l2_episodes.groupBy("project_id", "summary_hash", "state").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"))
-
-
 @C.query("WRT21", "select k, min(created_at) is not null as kept, count(*) as n from (select case when session_id is not null and seq is not null then lower(trim(session_id)) || '#' || seq when session_id is not null and quote is not null then lower(trim(session_id)) || '#' || sha1(quote) end as k, created_at from anchors) where k is not null group by 1")
 def wrt21(t: Tables) -> DataFrame:
     """Idempotent capture: by (session, seq), else by session and text, else not kept."""
@@ -212,17 +173,6 @@ def wrt21(t: Tables) -> DataFrame:
     return t.anchors.select(k.alias("k"), "created_at").where("k is not null").groupBy("k").agg(F.min("created_at").isNotNull().alias("kept"), F.count(F.lit(1)).alias("n"))
 
 
-@C.query("WRT23", "select feedback.status as feedback_status, count(*) as n, count(distinct anchor_id) as n_anchors from anchors where feedback.status in ('confirmed', 'stale', 'unresolvable') group by 1")
-def wrt23(t: Tables) -> DataFrame:
-    f = t.anchors.where("feedback.status in ('confirmed', 'stale', 'unresolvable')")
-    return f.groupBy(F.col("feedback.status").alias("feedback_status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anchor_id").alias("n_anchors"))
-
-
-@C.query("STM01", "select event_type, count(*) as n from anchors where event_type in ('tool_call', 'tool_result', 'session_start') group by 1")
-def stm01(t: Tables) -> DataFrame:
-    return t.anchors.where(F.col("event_type").isin("tool_call", "tool_result", "session_start")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @C.query("SNK12", "select 'l2' as kind, count(*) filter (embedding is null or len(embedding) <> 64) as n_to_embed, count(*) as n from vectors")
 def snk12(t: Tables) -> DataFrame:
     return t.vectors.agg(F.count_if(F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("n_to_embed"), F.count(F.lit(1)).alias("n")).select(F.lit("l2").alias("kind"), "n_to_embed", "n")

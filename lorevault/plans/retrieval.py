@@ -201,11 +201,6 @@ def edges(t: Tables) -> DataFrame:
     return n.unionByName(c).unionByName(s)
 
 
-@C.query("SRC04", f"with {_EDGES} select head, relation, tail, round(confidence, 6) as confidence from edges")
-def src04(t: Tables) -> DataFrame:
-    return edges(t).select("head", "relation", "tail", F.round("confidence", 6).alias("confidence"))
-
-
 @C.query("FLT09", f"with {_EDGES} select distinct head, relation, tail from edges where head in ('en_n3', 'en_r1') or tail in ('en_n3', 'en_r1')")
 def flt09(t: Tables) -> DataFrame:
     e = edges(t)

@@ -36,11 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a local folder is
-    made and set, so that later calls find the same one.
+    Only where the session has none and runs on one machine (tests) a local folder
+    is made and set, so that later calls find the same one; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

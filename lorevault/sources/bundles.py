@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lorevault.operators.running import running
+
 SCALAR = re.compile(r"^([A-Za-z_][\w-]*):\s*(.*)$")
 
 
@@ -57,11 +60,76 @@ def skill_bundles(spark: SparkSession, root: str, file: str = "SKILL.md") -> Dat
 
 
 def rules(spark: SparkSession, root: str, max_rules: int, max_chars: int) -> DataFrame:
-    """Rule files in the order of their names while they fit: name, body. Empty ones are skipped."""
+    """The first ``max_rules`` rule files by name, while they fit: name, body. Empty ones are skipped; of the first that doesn't fit a prefix with a pointer to its file."""
     files = spark.read.text(f"{root}/*.md", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.trim("value").alias("body")).where("body <> ''")
-    w = Window.orderBy("name")
-    kept = files.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_rules)
-    return kept.withColumn("used", F.sum(F.char_length("body")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= max_chars).select("name", "body")
+    # The limit bounds what the window puts together.
+    kept = files.orderBy("name").limit(max_rules)
+    kept = kept.withColumn("used", F.sum(F.char_length("body")).over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)))
+    left = max_chars - (F.col("used") - F.char_length("body"))
+    prefix = F.concat(F.rtrim(F.substring("body", F.lit(1), left)), F.lit("\n… see "), F.col("name"))
+    return kept.where(left > 0).select("name", F.when(F.col("used") <= max_chars, F.col("body")).otherwise(prefix).alias("body"))
+
+
+def project_memory(spark: SparkSession, root: str, max_chars: int) -> DataFrame:
+    """Lines of the day files (YYYY-MM-DD.md), the newest day first, as far as ``max_chars`` go: day, nth, line.
+
+    Headings, comments and blank lines are left out; a line is whole or not there.
+    """
+    files = spark.read.text(f"{root}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.md$", 1).alias("day"), F.posexplode(F.split("value", "\n")).alias("nth", "line")).where("day <> ''")
+    lines = files.withColumn("line", F.rtrim("line")).where(~F.col("line").rlike(r"^\s*(#|<!--|$)"))
+    used = running(lines.withColumn("root", F.lit(1)), "used", F.char_length("line") + 1, "sum", ["root"], -F.unix_date(F.to_date("day")), [F.col("nth")])
+    return used.where(F.col("used") <= max_chars).select("day", "nth", "line")
+
+
+def emitted(fields: dict[str, str | list[str]]) -> str:
+    """Fields as frontmatter that ``frontmatter`` reads: scalars, quoted where needed, and flow lists."""
+
+    def scalar(v: str) -> str:
+        return '"' + v.replace('"', "'") + '"' if v == "" or re.search(r"[:#\[\]{},\"']|^\s|\s$", v) else v
+
+    lines = [f"{k}: [{', '.join(map(scalar, v))}]" if isinstance(v, list) else f"{k}: {scalar(v)}" for k, v in fields.items()]
+    return "---\n" + "\n".join(lines) + "\n---\n"
+
+
+NAME = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
+
+
+def create_bundle(root: str, name: str, fields: dict[str, str | list[str]], body: str, most: int = 24) -> str:
+    """Write a new skill bundle, never over another one, and no more than ``most`` of them; the path of its file."""
+    if not NAME.fullmatch(name):
+        raise ValueError(f"{name} is no name of a bundle")
+    home = Path(root)
+    if (home / name).exists():
+        raise FileExistsError(name)
+    if home.is_dir() and sum(p.is_dir() and not p.name.startswith(".") for p in home.iterdir()) >= most:
+        raise ValueError(f"there are {most} bundles already")
+    (home / name).mkdir(parents=True)
+    path = home / name / "SKILL.md"
+    path.write_text(emitted({"name": name, **fields}) + body.strip() + "\n", encoding="utf-8")
+    return str(path)
+
+
+def retire_bundle(root: str, name: str) -> str:
+    """Move a bundle among the retired ones, under a free name; its new path."""
+    to = Path(root) / ".retired" / name
+    n = 1
+    while to.exists():
+        n += 1
+        to = to.with_name(f"{name}-{n}")
+    to.parent.mkdir(exist_ok=True)
+    (Path(root) / name).rename(to)
+    return str(to)
+
+
+def create_rule(root: str, name: str, title: str, body: str) -> str:
+    """Write a new rule file; a file of that name is a conflict."""
+    if not NAME.fullmatch(name):
+        raise ValueError(f"{name} is no name of a rule")
+    path = Path(root) / f"{name}.md"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("x", encoding="utf-8") as f:
+        f.write(f"# {title.strip()}\n\n{body.strip()}\n")
+    return str(path)
 
 
 RUN = StructType([StructField(c, StringType()) for c in ("skill", "outcome", "started_at", "session")])
@@ -126,4 +194,18 @@ def import_markdown(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=["project_id", "memory_id", "created_at", "summary"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "project_id string, memory_id string, created_at string, summary string").withColumn("created_at", F.to_timestamp("created_at"))
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "project_id string, memory_id string, created_at string, summary string").withColumn("created_at", F.try_to_timestamp("created_at"))
+
+
+def restored(spark: SparkSession, path: str, known: DataFrame, most_chars: int = 4000) -> DataFrame:
+    """What a restore of a Markdown backup does with each item: project_id, memory_id, created_at, summary, outcome.
+
+    outcome: ``failed`` (no text or no time), ``known`` (its memory_id is in ``known``),
+    ``repeated`` (an item of the same id came before), ``truncated`` (the text is cut at ``most_chars``) or ``imported``.
+    A dry run counts the outcomes; a restore appends the rows imported and truncated.
+    """
+    items = import_markdown(spark, path)
+    w = Window.partitionBy("memory_id").orderBy(F.desc("created_at"), "summary")
+    items = items.withColumn("nth", F.row_number().over(w)).join(known.select("memory_id").distinct().withColumn("there", F.lit(True)), "memory_id", "left")
+    outcome = F.when(F.col("created_at").isNull() | (F.trim("summary") == ""), "failed").when(F.col("there"), "known").when(F.col("nth") > 1, "repeated").when(F.char_length("summary") > most_chars, "truncated").otherwise("imported")
+    return items.select("project_id", "memory_id", "created_at", F.substring("summary", 1, most_chars).alias("summary"), outcome.alias("outcome"))

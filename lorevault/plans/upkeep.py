@@ -98,16 +98,19 @@ def snk04(t: Tables) -> DataFrame:
     return t.vectors.select(F.col("rowid").alias("vec_rowid"), F.when(F.col("embedding").isNull(), "delete").when(F.size("embedding") != 64, "wrong_dimension").when(bad, "not_finite").otherwise("upsert").alias("action"))
 
 
-@C.query("AGG09", f"with s as (select project_id, sum(v) as evidence from (select project_id, v, row_number() over (partition by project_id order by v desc) as rn from (select project_id, {_IMP} * (0.5 + 0.5 * {_RET}) as v from l2_episodes where {_VISIBLE})) where rn <= 3 group by 1), c as (select project_id, avg(case when importance is null or isnan(importance) then 0.8 else least(1.0, importance) end) as confidence from l2_episodes group by 1) select p.project_id, round(coalesce(confidence, 0.8) * case when evidence is null then 1.0 else 0.25 + evidence end, 4) as strength from projects p left join s using (project_id) left join c using (project_id)")
+@C.query("AGG09", f"with s as (select project_id, sum(v) as evidence from (select project_id, v, row_number() over (partition by project_id order by v desc) as rn from (select project_id, {_IMP} * (0.5 + 0.5 * {_RET}) as v from l2_episodes where {_VISIBLE})) where rn <= 3 group by 1), c as (select project_id, avg(case when importance is null or isnan(importance) then 0.8 else least(1.0, importance) end) as confidence from l2_episodes group by 1) select p.project_id, round(coalesce(confidence, 0.8) * case when evidence is null then 1.0 else 0.25 + evidence end + 1e-9, 6) as strength from projects p left join s using (project_id) left join c using (project_id)")
 def agg09(t: Tables) -> DataFrame:
-    """Strength of a belief about each project: its confidence, raised by the three best pieces of evidence by what is retained of them."""
+    """Strength of a belief about each project: its confidence, raised by the three best pieces of evidence by what is retained of them.
+
+    A billionth is added before rounding, as means of two decimals often lie just between two results.
+    """
     v = with_retention(visible(t.l2_episodes)).select("project_id", (F.col("imp") * (0.5 + 0.5 * F.col("retention"))).alias("v"))
     w = Window.partitionBy("project_id").orderBy(F.desc("v"))
     s = v.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("project_id").agg(F.sum("v").alias("evidence"))
     own = F.when(F.col("importance").isNull() | F.isnan("importance"), 0.8).otherwise(F.least(F.lit(1.0), "importance"))
     c = t.l2_episodes.groupBy("project_id").agg(F.avg(own).alias("confidence"))
     out = t.projects.select("project_id").join(s, "project_id", "left").join(c, "project_id", "left")
-    return out.select("project_id", F.round(F.coalesce("confidence", F.lit(0.8)) * F.when(F.col("evidence").isNull(), 1.0).otherwise(0.25 + F.col("evidence")), 4).alias("strength"))
+    return out.select("project_id", F.round(F.coalesce("confidence", F.lit(0.8)) * F.when(F.col("evidence").isNull(), 1.0).otherwise(0.25 + F.col("evidence")) + 1e-9, 6).alias("strength"))
 
 
 @C.query("SRC04", f"with {_BELIEF} select o_orderkey, head, tail, valid_to is null as is_current, valid_from <= timestamp '1998-02-15' and (valid_to is null or valid_to > timestamp '1998-02-15') as held from iv where head in (select 'en_c' || c_custkey from customer where c_nationkey in (1, 3))")

@@ -14,6 +14,7 @@ from lorevault.plans.catalog import Catalog, Tables
 from lorevault.plans.episodes import _STATE, _RET, visible, with_retention
 from lorevault.plans.memory import _ROUTE
 from lorevault.plans.retrieval import _COS, _EDGES, _LEX, _VALID, edges, lexical_hits, questions
+from lorevault.session import stage
 
 C = Catalog()
 queries, oracle_sql = C.queries, C.oracle_sql
@@ -187,9 +188,10 @@ def gra06(t: Tables) -> DataFrame:
 
 def facts(t: Tables) -> DataFrame:
     """Facts for each question, fused from the fast and the deep path: query, head, tail, fused, place."""
-    e, near = edges(t), vector_seeds(t)
-    fast = fast_facts(e, seeds_of(t, near))
-    deep = near.join(F.broadcast(deep_questions(t, fast)), "query", "left_semi")
+    # Seeds and the fast path are used several times.
+    e, near = edges(t), stage(vector_seeds(t), "seeds")
+    fast = stage(fast_facts(e, seeds_of(t, near)), "fast")
+    deep = stage(near.join(deep_questions(t, fast), "query", "left_semi"), "deep")
     lists = fast.withColumn("weight", F.lit(FAST)).unionByName(ranked_facts(e, deep).withColumn("weight", F.lit(DEEP))).unionByName(rewritten_facts(e, deep).withColumn("weight", F.lit(DEEP)))
     f = lists.groupBy("query", "head", "tail").agg(F.round(F.sum(F.col("weight") / (60 + F.col("place"))), 9).alias("fused"), F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("fused"), F.desc("score"), "head", "tail")

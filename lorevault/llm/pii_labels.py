@@ -233,7 +233,7 @@ Calle libre: no hay bloqueo en {c}.
 结论：保留{C}，删除{c}，{d}重试。
 构建{b}失败，见{f}。
 用户更喜欢表格。
-The retry loop of {c} stops after {k} rounds. (shard {b})
+The polling loop of {c} ends after {k} rounds. (shard {b})
 We never ran {f} on Windows. (row {b})
 Nothing was lost. (build {b})
 It was faster before. (commit {h})
@@ -260,7 +260,7 @@ WE KEEP {c} AND DROP {c}
 Before {d} the answer took {k} ms, now it takes {k}.
 Users of {c} like short lists, long ones are cut.
 Can {c} run without {c}, or does it wait for {f}?
-How many rows does {c} return from {f}?
+Which entries will {c} give back for {f}?
 Where does {c} keep the order of its filters?
 Could you undo {h}? It breaks {c}.
 Yes, go on with {c}.
@@ -324,14 +324,14 @@ Eintrag {h} vom {d}, Quelle {h}.
 Die Verbindung endet am {d}, Grund {h}.
 El registro {h} del {d}, origen {h}.
 No changes.
-No change today.
+Nothing moved today.
 Nothing to add.
 Kept {k} of {k} lines.
 Fixed the parser of {c}, {f} follows.
 Patched {f}, then merged {h}.
 Added: {k} rows of {c}.
 {w} now reads {f} first.
-Fixed since the {w} release. ({w} release)
+Mended in the {w} release. ({w} release)
 Ships with the {w} release.
 We skipped {w} and went to {w}.
 (see the notes of the {w} release)

@@ -122,6 +122,52 @@ def test_nearest_cuts_ties_by_id(spark):
     assert knn.nearest(v, "id", "v", q.limit(0), "q", "w", 3).collect() == []
 
 
+def test_within_where_a_batch_has_no_hit(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 == 1 else [0.0, 1.0]) for i in range(9)], "id long, v array<float>").coalesce(1)
+    q = spark.createDataFrame([("a", [2.0, 0.0])], "q string, w array<float>")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted((r.query, r.doc) for r in knn.within(v, "id", "v", q, "q", "w", 0.85).collect()) == [("a", 1), ("a", 4), ("a", 7)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_counterparts_where_batches_have_no_hit(spark, tmp_path, monkeypatch, passes):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 64))
+    # Rows below 300 are like no row of another project, the others like every fortieth, some of them just at the limit.
+    data = [(i, (rng.normal(size=64) if i < 300 else base[i % 40] + rng.normal(size=64) * (0.3, 0.6)[i % 2]).tolist()) for i in range(600)]
+    odd = [None, [], [1.0] * 63, [0.0] * 64, [float("nan")] * 64, [float("inf")] * 64, [None] * 64]
+    data += [(600 + 20 * k, x) for k, x in enumerate(odd)] + [(-20, data[580][1]), (None, data[580][1]), (900, data[580][1])]
+    spark.createDataFrame(data, "rowid long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/vectors.parquet")
+    # An episode of two projects, some of none.
+    owners = [(i, f"p{i % 7}" if i % 11 else None) for i in range(-20, 800)] + [(580, "q"), (590, "q")]
+    spark.createDataFrame(owners, "ord long, project_id string").write.parquet(f"{tmp_path}/l2_episodes.parquet")
+    if passes > 1:
+        monkeypatch.setattr(knn, "ACROSS_QUERIES", 10)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = sorted((r.id_a, r.id_b, r.similarity) for r in retrieval.queries()["JOI09"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    c = duckdb.connect()
+    for name in ("vectors", "l2_episodes"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(c.execute("select id_a, id_b, similarity from (" + retrieval.oracle_sql()["JOI09"] + ")").fetchall())
+    assert len(want) > 100 and got == want
+
+
+def test_counterparts_are_rounded_once(spark):
+    """The cosine, 0.8500005 less 2e-10, is below the middle of two values of six places, but not when rounded to nine first."""
+    cos = 0.8500005 - 2e-10
+    v = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [cos, math.sqrt(1 - cos * cos)])], "id long, g string, v array<double>")
+    r = knn.across(v, "id", "g", "v", 2, "id = 0", 0.85).select("doc", F.round("similarity", 6).alias("s")).collect()
+    assert [(x.doc, x.s) for x in r] == [(1, 0.85)]
+
+
 def test_fusion_prefers_what_both_lists_have(spark):
     lists = spark.createDataFrame([(1, "x", 1, 1.0), (1, "y", 2, 1.0), (1, "y", 1, 1.0), (1, "z", 2, 1.0)], "query long, doc string, place int, weight double")
     assert lexical.fused(lists).orderBy(F.desc("fused")).first()["doc"] == "y"

@@ -160,6 +160,20 @@ def test_counterparts_where_batches_have_no_hit(spark, tmp_path, monkeypatch, pa
     assert len(want) > 100 and got == want
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 64])
+def test_across_against_all_pairs(spark, length):
+    """Vectors of few directions and of all, many of them in a line, of very unlike norms."""
+    rng = np.random.default_rng(length)
+    x = rng.normal(size=(1500, length)) * (10.0 ** -np.arange(length).clip(0, 3)) * 10.0 ** rng.integers(-15, 15, size=(1500, 1))
+    x[::3] = x[0] * rng.uniform(0.5, 2, size=(500, 1))
+    x = x.astype(np.float32)
+    v = spark.createDataFrame([(i, f"g{i % 4}", r.tolist()) for i, r in enumerate(x)], "id long, g string, v array<float>")
+    got = sorted((r.query, r.doc) for r in knn.across(v, "id", "g", "v", length, "id % 5 = 0", 0.9).collect())
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.round(u @ u.T, 9) >= 0.9)
+    assert got == [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a % 5 == 0 and a % 4 != b % 4] and len(got) > 1000
+
+
 def test_counterparts_are_rounded_once(spark):
     """The cosine, 0.8500005 less 2e-10, is below the middle of two values of six places, but not when rounded to nine first."""
     cos = 0.8500005 - 2e-10
